@@ -24,6 +24,8 @@ from ..session import written
 GRID, ROUNDS = 2048, 160
 #: Parts that a cell's documents are ranked in, so that no hot cell is ranked in one task.
 RANK_PARTS = 64
+#: Shares of the fractional solution that are tried before rounding.
+ROUNDED = (1.0, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2)
 
 
 def _knapsack(size: np.ndarray, price: np.ndarray, stock: np.ndarray, room: int) -> np.ndarray:
@@ -74,25 +76,31 @@ def solve(size: np.ndarray, count: np.ndarray, room: int, rounds: int = ROUNDS)
         total[key] = total.get(key, 0.0) + x
         covered += used * x
         price = size / room * np.exp(-eta * (covered / count) * np.log(len(size) + 2.0))
-    left = count.copy()
-    scale = 1 / max(1.0, float((covered / count).max()) if (covered > 0).any() else 1.0)
-    for shrink in (scale, 1.0):
-        for key, x in sorted(total.items(), key=lambda kv: -kv[1]):
-            used = chosen[key]
-            some = used > 0
-            m = int(min(np.floor(x * shrink), (left[some] // used[some]).min()))
-            if m > 0:
-                out.append((m, at[some], used[some]))
-                left -= used * m
-    # whole configurations out of what is left, then single items best-fit
+    best = None
+    for part in ROUNDED:  # how much of the program's solution is kept before rounding down
+        tried = _round(size, count, room, [(x * part, chosen[key]) for key, x in sorted(total.items(), key=lambda kv: -kv[1])])
+        if best is None or sum(m for m, _ in tried) < sum(m for m, _ in best):
+            best = tried
+    return out + [(m, at[used > 0], used[used > 0]) for m, used in best]
+
+
+def _round(size: np.ndarray, count: np.ndarray, room: int, solution: list) -> list[tuple[int, np.ndarray]]:
+    left, out = count.copy(), []
+    for x, used in solution:
+        some = used > 0
+        m = int(min(np.floor(x), (left[some] // used[some]).min()))
+        if m > 0:
+            out.append((m, used))
+            left = left - used * m
+    # windows filled out of what is left, the largest item first
     while left.any():
         have = left > 0
         pick = np.zeros(len(size), np.int64)
         pick[have] = _fill(size[have], left[have], room)
         some = pick > 0
         m = int((left[some] // pick[some]).min())
-        out.append((m, at[some], pick[some]))
-        left -= pick * m
+        out.append((m, pick))
+        left = left - pick * m
     return out
 
 

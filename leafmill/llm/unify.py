@@ -10,6 +10,7 @@ different spellings.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,7 +43,7 @@ def suspects(text: str) -> list[tuple[str, str]]:
             continue
         scripts = {_script(c) for c in token} | ({"latin"} if any(c in "\u0131\u0261" for c in foreign) else set())
         if len(scripts) > 1 or not scripts & genuine:
-            out[token] = token.translate(_MAP)
+            out[token] = unicodedata.normalize("NFC", token.translate(_MAP))
     return sorted(out.items())
 
 
