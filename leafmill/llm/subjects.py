@@ -81,7 +81,10 @@ def sentences_of(texts: list[str | None]) -> Sentences:
     doc[sent] = doc_at
     marked = np.zeros(count, bool)
     marked[sent[mark]] = True
-    counted = (letters >= 2) & (marked | (size > 31))
+    first = np.concatenate([[True], end[:-1]])
+    bar = np.zeros(count, bool)
+    bar[sent[first & (c == 124)]] = True  # rows of tables
+    counted = (letters >= 2) & (marked | (size > 31)) & ~bar
 
     big = c.astype(np.uint64)
     buckets, ats = [], []
@@ -132,13 +135,16 @@ class Model:
     weights: np.ndarray
 
     @staticmethod
-    def fit(subjects: list[str], totals: np.ndarray, buckets: np.ndarray, counts: np.ndarray, smooth: float = 0.05) -> Model:
+    def fit(subjects: list[str], totals: np.ndarray, buckets: np.ndarray, counts: np.ndarray, clear: float = 0.4, smooth: float = 0.05) -> Model:
         prior = np.maximum(totals / max(1e-9, totals.sum()), 1e-4)
         n = counts.sum(1)
-        lift = counts / prior
-        lift /= np.maximum(lift.sum(1, keepdims=True), 1e-9)
-        points = lift.max(1) >= 0.5 + 1.2 / np.sqrt(np.maximum(n, 1))
-        buckets, counts, lift, n = buckets[points], counts[points], lift[points], n[points]
+        share = counts / np.maximum(n, 1e-9)[:, None]
+        most = share.max(1)
+        # points to one subject: by a clear share of it, far beyond the subject's part of the corpus
+        best = share.argmax(1)
+        chance = (most * n - n * prior[best]) / np.sqrt(np.maximum(n * prior[best], 1e-9))
+        points = (most >= clear + 0.6 / np.sqrt(np.maximum(n, 1))) & (most >= 1.8 * prior[best]) & (chance >= 5)
+        buckets, counts, n = buckets[points], counts[points], n[points]
         index = np.full(BUCKETS, -1, np.int32)
         index[buckets] = np.arange(len(buckets), dtype=np.int32)
         own = (counts + smooth) / (totals + smooth * BUCKETS ** 0.5)
@@ -175,11 +181,12 @@ def posteriors(model: Model, s: Sentences, labels: np.ndarray | None, docs: int)
         some = labels.sum(1, keepdims=True)
         mix = np.where(some > 0, 0.5 * mix + 0.5 * labels / np.maximum(some, 1), mix)
     post = _softmax(np.where(evident[:, None], score, 0) + np.log(mix[s.doc]))
-    # without any evidence in the document, a sentence teaches nothing
-    known = np.bincount(s.doc, evident, minlength=docs) > 0
+    # a sentence without evidence teaches as much as its document is known
+    size = np.maximum(np.bincount(s.doc[s.counted], minlength=docs), 1)
+    known = np.bincount(s.doc[evident & s.counted], minlength=docs) / size
     if labels is not None:
-        known |= labels.sum(1) > 0
-    return post, np.where(s.counted & known[s.doc], 1.0, 0.0)
+        known = np.where(labels.sum(1) > 0, np.maximum(known, 0.5), known)
+    return post, np.where(s.counted, np.where(evident, 1.0, known[s.doc]), 0.0)
 
 
 def decide(model: Model, s: Sentences, cues: np.ndarray, docs: int) -> np.ndarray:
@@ -187,7 +194,7 @@ def decide(model: Model, s: Sentences, cues: np.ndarray, docs: int) -> np.ndarra
     score, evident = _score(model, s)
     mix = _mix(model, s, _softmax(score + np.log(model.prior)), evident, docs)
     post = _softmax(score + np.log(mix[s.doc] / mix.sum(1)[s.doc][:, None]))
-    own = np.where(evident & (score.max(1) > 1.0), post.argmax(1), -1)
+    own = np.where(evident & (score.max(1) > 2.0), post.argmax(1), -1)
     goes_on = np.zeros(len(s.doc), bool)
     goes_on[s.at[cues[s.bucket]]] = True
     fixed = np.flatnonzero(s.counted & ~(goes_on & (own < 0)))
@@ -217,7 +224,7 @@ def _one_hot(labels: pd.Series, subjects: list[str]) -> np.ndarray:
     return out
 
 
-def _learn(docs: DataFrame, subjects: list[str], model: Model | None) -> Model:
+def _learn(docs: DataFrame, subjects: list[str], model: Model | None, clear: float = 0.4) -> Model:
     """One round: expected counts of every sequence under ``model`` (or the labels alone), then a new model."""
     spark, k = docs.sparkSession, len(subjects)
     shared = spark.sparkContext.broadcast(model)
@@ -253,7 +260,7 @@ def _learn(docs: DataFrame, subjects: list[str], model: Model | None) -> Model:
     # BUCKETS rows at most: those seen often enough to point anywhere
     rows = raw.groupBy(F.floor(F.col("key") / k).cast("int").alias("b")).agg(*[F.sum(F.when(F.col("key") % k == c, F.col("n")).otherwise(0.0)).alias(f"c{c}") for c in range(k)], F.sum("n").alias("n")).where("n >= 6")
     pdf = rows.where(F.greatest(*[F.col(f"c{c}") for c in range(k)]) >= 0.2 * F.col("n")).drop("n").toPandas()
-    return Model.fit(subjects, totals, pdf.b.to_numpy(), pdf[[f"c{c}" for c in range(k)]].to_numpy(float))
+    return Model.fit(subjects, totals, pdf.b.to_numpy(), pdf[[f"c{c}" for c in range(k)]].to_numpy(float), clear)
 
 
 def train_subjects(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> Model | None:
@@ -267,8 +274,9 @@ def train_subjects(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
     docs = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     model = _learn(docs.join(own, "id").select("text", "labels"), subjects, None)
     everything = docs.join(own, "id", "left").select("text", "labels")
-    for _ in range(rounds):
-        model = _learn(everything, subjects, model)
+    for i in range(rounds):
+        # the last model decides, so that its evidence must be clearer than what the rounds learn from
+        model = _learn(everything, subjects, model, 0.4 if i + 1 < rounds else 0.8)
     return model
 
 
