@@ -15,11 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import BROADCAST_ROWS, written
 from .unify import consistent_form
 
 #: Members of a band bucket that are joined as one block with another block.
 BLOCK = 2000
+#: Hashes of a signature that are kept, a byte each, to thin the candidates.
+SKETCH = 96
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast if there are few of them; otherwise the join shuffles."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def bands_for(similarity: float, recall: float = 0.99, background: float = 0.1, most: int = 200) -> tuple[int, int]:
@@ -78,25 +85,26 @@ def near_duplicates(texts: DataFrame, id_col: str, text_col: str, similarity: fl
     bands, rows = bands_for(similarity, recall)
     seeds = np.random.RandomState(7).randint(0, 1 << 31, bands * rows).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
-    @F.pandas_udf("bands array<long>, sketch binary")
+    @F.pandas_udf("bands array<int>, sketch binary")
     def sign(s: pd.Series) -> pd.DataFrame:
         sig = np.stack([_signature(ngram_hashes(t, n), seeds) for t in s]) if len(s) else np.zeros((0, len(seeds)), np.uint32)
         part = sig.reshape(len(sig), bands, rows).astype(np.uint64)
-        key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), part.shape[:2]).copy()
+        key = np.zeros(part.shape[:2], np.uint64)
         for r in range(rows):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + part[:, :, r])
-        sketch = (sig.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(12)).astype(np.uint8)
-        return pd.DataFrame({"bands": list(key.view(np.int64)), "sketch": [x.tobytes() for x in sketch]})
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + part[:, :, r] + np.uint64(1))
+        sketch = (sig[:, :SKETCH].astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(12)).astype(np.uint8)
+        return pd.DataFrame({"bands": list((key >> np.uint64(32)).astype(np.uint32).view(np.int32)), "sketch": [x.tobytes() for x in sketch]})
 
-    ok = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(text_col).alias("key"))
-    classes = ok.groupBy("key").agg(F.min("id").alias("class_id"))
-    members = written(ok.select("id", "key").join(classes, "key").select("id", "class_id"), "members")
-    one = members.where("id = class_id").select("id")
-    signed = ok.select("id", "text").join(one, "id").where("text <> ''").select("id", sign("text").alias("s"), "text")
-    signed = written(signed.select("id", "s.bands", "s.sketch", "text"), "signed")
+    ok = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed = written(ok.select("id", F.md5("text").alias("key")), "keys")
+    members = written(keyed.join(keyed.groupBy("key").agg(F.min("id").alias("class_id")), "key").select("id", "class_id"), "members")
+    copies = members.where("id <> class_id").select("id")
+    one = ok.where("text <> ''").join(_small(copies), "id", "left_anti")
+    signed = written(one.select("id", sign("text").alias("s")).select("id", "s.bands", "s.sketch"), "signed")
 
     same = W.partitionBy("band").orderBy("id")
-    placed = signed.select("id", F.explode("bands").alias("band")).select("id", "band", F.lead("id").over(same).alias("next"), F.row_number().over(same).alias("place"))
+    placed = signed.select("id", F.posexplode("bands").alias("i", "h")).select("id", (F.col("i").cast("long") * (1 << 32) + F.col("h")).alias("band"))
+    placed = placed.select("id", "band", F.lead("id").over(same).alias("next"), F.row_number().over(same).alias("place"))
     shared = placed.where("next is not null or place > 1").select("id", "band", F.floor((F.col("place") - 1) / BLOCK).cast("int").alias("block"))
     shared = written(shared, "buckets")
     last = shared.where("block > 0").groupBy("band").agg(F.max("block").alias("last"))
@@ -106,13 +114,13 @@ def near_duplicates(texts: DataFrame, id_col: str, text_col: str, similarity: fl
     right = shared.select("band", F.col("id").alias("b"), "block")
     pairs = left.join(right, ["band", "block"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / (bands * rows))  # four standard errors
+    least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / min(SKETCH, bands * rows))  # four standard errors
     chance = 1 / 256
 
     @F.pandas_udf("boolean")
     def likely(a: pd.Series, b: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), bands * rows)
-        y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), bands * rows)
+        x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
+        y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
         return pd.Series(((x == y).mean(1) - chance) / (1 - chance) >= least)
 
     sketch = signed.select("id", "sketch")
@@ -123,7 +131,7 @@ def near_duplicates(texts: DataFrame, id_col: str, text_col: str, similarity: fl
     def verify(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_similar(x, y, n) for x, y in zip(a, b)], dtype=float)
 
-    text = signed.select("id", "text")
+    text = ok.join(_small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
     links = pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b").select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), verify("ta", "tb").alias("similarity"))
     return members, written(links.where(F.col("similarity") >= similarity), "links")
 

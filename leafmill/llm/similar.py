@@ -176,6 +176,7 @@ def similar_vectors(
     Ties go to the smaller id. No vectors give an empty result.
     """
     spark = vectors.sparkSession
+    vectors = written(vectors.select("vector_id", "vec"), "vectors")
     key = F.xxhash64("vec")
     classes = vectors.select("vector_id", "vec", key.alias("h")).groupBy("h", "vec").agg(F.min("vector_id").alias("rep"), F.count("*").alias("copies"))
     classes = written(classes.select("rep", "vec", "copies"), "classes")

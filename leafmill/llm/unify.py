@@ -88,6 +88,7 @@ def consistent_form(df: DataFrame, id_col: str, text_col: str, out_col: str = "f
         return pd.Series(out, dtype=object)
 
     fixed = doubtful.select("_id", "base").join(repairs, "_id", "left").select("_id", repair("base", "repairs").alias(out_col))
+    fixed = written(fixed, "repaired")
     plain = rows.where(F.size("suspects") == 0).select("_id", F.col("base").alias(out_col))
     return plain.unionByName(fixed).select(F.col("_id").alias(id_col), out_col)
 
