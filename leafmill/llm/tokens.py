@@ -52,29 +52,29 @@ def _encoder(ranks: dict[bytes, int], name: str):
     return _ENCODERS[name]
 
 
-def _split(blocks):
+def _split(batches):
     import regex
+    from pyspark import TaskContext
 
     words = regex.compile(PATTERN).findall
+    tag = TaskContext.get().partitionId() << 32
 
-    def close(docs, index):
-        own = np.fromiter(index.values(), np.int32, len(index))
-        order = list(index)
-        tag = int.from_bytes(os.urandom(7), "big")
-        yield pd.DataFrame({"block": tag, "id": [a for a, _ in docs], "word": None, "places": [p for _, p in docs], "place": -1})
-        yield pd.DataFrame({"block": tag, "id": -1, "word": order, "places": None, "place": own})
+    def close(docs, index, tag):
+        kind = np.uint16 if len(index) <= 1 << 16 else np.uint32
+        yield pd.DataFrame({"block": tag, "id": [a for a, _ in docs], "word": None, "places": [p.astype(kind).tobytes() for _, p in docs], "place": -np.dtype(kind).itemsize})
+        yield pd.DataFrame({"block": tag, "id": -1, "word": list(index), "places": None, "place": np.arange(len(index), dtype=np.int32)})
 
     docs, index, chars = [], {}, 0
-    for pdf in blocks:
+    for pdf in batches:
         for key, text in zip(pdf["id"], pdf["text"]):
             if docs and (len(docs) >= BLOCK_ROWS or chars + len(text) > BLOCK_CHARS):
-                yield from close(docs, index)
-                docs, index, chars = [], {}, 0
+                yield from close(docs, index, tag)
+                docs, index, chars, tag = [], {}, 0, tag + 1
             put = index.setdefault
-            docs.append((key, np.fromiter((put(w, len(index)) for w in words(text)), np.int32)))
+            docs.append((key, np.fromiter((put(w, len(index)) for w in words(text)), np.uint32)))
             chars += len(text)
     if docs:
-        yield from close(docs, index)
+        yield from close(docs, index, tag)
 
 
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, counts: bool = False) -> DataFrame:
@@ -87,28 +87,38 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, name: str = "byte_b
     ranks = spark.sparkContext.broadcast(ranks_of(name, folder))  # of fixed size
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     full = texts.where("text is not null and text <> ''")
-    parts = written(full.mapInPandas(_split, "block long, id long, word string, places array<int>, place int"), "words")
-    words = parts.where("place >= 0").select("block", "word", "place")
-
-    @F.pandas_udf("int" if counts else "array<int>")
-    def encode(s: pd.Series) -> pd.Series:
-        enc = _encoder(ranks.value, name).encode_ordinary
-        return pd.Series([len(enc(w)) if counts else enc(w) for w in s], dtype="int32" if counts else object)
-
-    known = words.select("word").distinct().select("word", encode("word").alias("code"))
-    back = words.join(known, "word").select("block", "place", "code")
-    docs = parts.where("place = -1").select(F.col("block").alias("doc_block"), "id", "places")
+    parts = written(full.mapInPandas(_split, "block long, id long, word string, places binary, place int"), "words")
+    kind = np.uint16 if max(ranks.value.values()) < 1 << 16 else np.uint32
+
+    def encode(batches):
+        enc, last, code = _encoder(ranks.value, name).encode_ordinary, None, None
+        for pdf in batches:
+            out = []
+            for word in pdf.word:
+                if word != last:  # the rows are sorted by word, so that each word is encoded once
+                    last, code = word, enc(word)
+                    code = np.array([len(code)], np.uint32).tobytes() if counts else np.array(code, kind).tobytes()
+                out.append(code)
+            yield pd.DataFrame({"block": pdf.block, "place": pdf.place, "code": out})
+
+    words = parts.where("place >= 0").select("word", "block", "place").repartition("word").sortWithinPartitions("word")
+    codes = words.mapInPandas(encode, "block long, place int, code binary")
+    docs = parts.where("place < 0").select(F.col("block").alias("doc_block"), "id", "places", "place")
 
     def join_ids(docs: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "code": []})
-        table = codes.sort_values("place").code.to_numpy()
-        if counts:
-            table = table.astype(np.int64)
-            return pd.DataFrame({"id": docs.id, "code": [table[p].sum() for p in docs.places]})
-        return pd.DataFrame({"id": docs.id, "code": [np.concatenate(table[p]) for p in docs.places]})
-
-    done = docs.groupBy("doc_block").cogroup(back.groupBy("block")).applyInPandas(join_ids, "id long, code long" if counts else "id long, code array<int>")
+        own = codes.code.to_numpy()[np.argsort(codes.place.to_numpy())]
+        flat = np.frombuffer(b"".join(own), np.uint32 if counts else kind).astype(np.int32)
+        size = np.fromiter(map(len, own), np.int64, len(own)) // (4 if counts else np.dtype(kind).itemsize)
+        at = np.cumsum(size) - size
+        out = []
+        for places, width in zip(docs.places, docs.place):
+            p = np.frombuffer(places, np.uint16 if width == -2 else np.uint32)
+            n = size[p]
+            ids = flat[np.repeat(at[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            out.append(int(ids.sum()) if counts else ids)
+        return pd.DataFrame({"id": docs.id, "code": out})
+
+    done = docs.groupBy("doc_block").cogroup(codes.groupBy("block")).applyInPandas(join_ids, "id long, code long" if counts else "id long, code array<int>")
     none = texts.where("text is null or text = ''").select("id", (F.lit(0).cast("long") if counts else F.array().cast("array<int>")).alias("code"))
     return done.unionByName(none).toDF(id_col, "n_tokens" if counts else "ids")
 
