@@ -84,4 +84,14 @@ def p8_subjects(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_groups, p3_found, p3_pieces, p5_found, p5_forms, p6_ids, p6_words, p7_windows, p8_found, p8_subjects)}
-ORACLES: dict[str, str] = {}
+_WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+ORACLES: dict[str, str] = {
+    "p1_found": """WITH cur AS (SELECT chunk_id, embedding AS e FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY seq DESC) r FROM embedding_cache) WHERE r = 1),
+        good AS (SELECT chunk_id, list_transform(e, lambda v: v::DOUBLE) AS v FROM cur WHERE len(e) = 64 AND len(list_filter(e, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(e, lambda v: v <> 0)) > 0),
+        u AS (SELECT m.vector_id::BIGINT AS id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::DOUBLE[64] AS v FROM metadata m JOIN good USING (chunk_id)),
+        c AS (SELECT a.id AS a, b.id AS b, array_inner_product(a.v, b.v) AS s FROM u a JOIN u b ON a.id <> b.id),
+        k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM c WHERE s >= 0.85) WHERE r <= 10)
+        SELECT DISTINCT least(a, b) AS vector_a, greatest(a, b) AS vector_b FROM k""",
+    "p3_found": f"""WITH p AS (SELECT chunk_no, string_split(regexp_replace(regexp_replace(content, '\\.({_WS})', '.' || chr(1) || '\\1', 'g'), '([。！？；!?;\\n])', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM all_chunks WHERE length(content) > 1000)
+        SELECT chunk_no, (list_max(list_transform(parts, lambda x: length(x))) > 1000)::INT AS forced FROM p""",
+}
