@@ -222,13 +222,21 @@ def l2_normalize(spark, d):
     return r.select("chunk_id", F.round(v[0], 6).alias("first"), F.round(F.sqrt(R.dot(v, v)), 6).alias("norm"))
 
 
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """Aggregates of one row each, side by side."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def index_config(spark, d):
     cache, meta = table(spark, d, "embedding_cache"), table(spark, d, "metadata")
     cur = I.current_records(cache).agg(F.sum(I.usable(F.col("embedding")).cast("long")).alias("usable"), F.count("*").alias("cached"))
     chunks = table(spark, d, "all_chunks").agg(F.count("*").alias("input"))
     items = I.index_items(meta, cache).agg(F.count("*").alias("indexed"), F.max(F.size("vec")).cast("long").alias("dimension"))
     failed = table(spark, d, "failed").agg(F.countDistinct("chunk_id").alias("failed"))
-    return chunks.crossJoin(cur).crossJoin(items).crossJoin(failed)  # rows of one aggregate each
+    return _one_row(chunks, cur, items, failed)
 
 
 def index_integrity(spark, d):
@@ -238,7 +246,7 @@ def index_integrity(spark, d):
 
 def health_counts(spark, d):
     m = table(spark, d, "metadata").agg(F.count("*").alias("items"))
-    return m.crossJoin(table(spark, d, "questions").agg(F.count("*").alias("questions")))
+    return _one_row(m, table(spark, d, "questions").agg(F.count("*").alias("questions")))
 
 
 def companies(spark, d):
