@@ -127,9 +127,11 @@ def pack(sizes: DataFrame, windows: DataFrame, id_col: str = "doc_id", size_col:
     capacity are left out; ids must be unique.
     """
     caps = windows.where("capacity_tokens > 0").select("window_code", F.col("capacity_tokens").cast("long").alias("room")).distinct()
-    docs = sizes.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("n"))
-    pieces = docs.where("n > 0").crossJoin(F.broadcast(caps)).select(  # a fixed table of a few capacities
-        "window_code", "room", "id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("room")))).alias("k")
+    # a fixed table of a few capacities
+    each = F.explode(F.array(*[F.struct(F.lit(r.window_code).alias("window_code"), F.lit(r.room).cast("long").alias("room")) for r in caps.orderBy("window_code").limit(1000).collect()]))
+    docs = written(sizes.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("n")), "sizes")
+    pieces = docs.where("n > 0").select("id", "n", each.alias("w")).select(
+        "w.window_code", "w.room", "id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("w.room")))).alias("k")
     )
     cell = F.ceil(F.least(F.lit(GRID), F.col("room")) * F.col("tokens") / F.col("room")).cast("int")
     pieces = pieces.withColumn("tokens", F.least("room", F.col("n") - F.col("k") * F.col("room"))).withColumn("cell", cell)
@@ -167,5 +169,5 @@ def pack(sizes: DataFrame, windows: DataFrame, id_col: str = "doc_id", size_col:
         F.col("id").alias(id_col), F.col("k").cast("int").alias("piece_no"), (F.col("k") * F.col("room")).alias("token_start"), "tokens",
     )
     zero = F.lit(0).cast("long")
-    empty = docs.where("n <= 0").crossJoin(F.broadcast(caps)).select("window_code", zero.alias("container"), F.col("id").alias(id_col), F.lit(0).alias("piece_no"), zero.alias("token_start"), zero.alias("tokens"))
+    empty = docs.where("n <= 0").select("id", each.alias("w")).select("w.window_code", zero.alias("container"), F.col("id").alias(id_col), F.lit(0).alias("piece_no"), zero.alias("token_start"), zero.alias("tokens"))
     return placed.unionByName(empty)

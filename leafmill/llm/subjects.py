@@ -307,8 +307,8 @@ def calibrated(shares: DataFrame, labels: DataFrame, id_col: str = "doc_id") ->
     spark = shares.sparkSession
     own = labels.where("subject_code is not null").select(id_col, "subject_code", F.lit(1.0).alias("y")).distinct()
     ids = own.select(id_col).distinct().orderBy(F.xxhash64(id_col)).limit(LABELLED_ROWS)
-    codes = own.select("subject_code").distinct()
-    seen = ids.crossJoin(F.broadcast(codes))  # LABELLED_ROWS times the fixed subjects
+    codes = [r.subject_code for r in own.select("subject_code").distinct().orderBy("subject_code").limit(1000).collect()]  # the fixed subjects
+    seen = ids.select(id_col, F.explode(F.array(*[F.lit(c) for c in codes]) if codes else F.array().cast("array<string>")).alias("subject_code"))
     fit = seen.join(shares, [id_col, "subject_code"], "left").join(own, [id_col, "subject_code"], "left")
     fit = fit.select("subject_code", F.coalesce(F.col("sentences") / F.col("of"), F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
 
