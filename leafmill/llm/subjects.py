@@ -247,8 +247,7 @@ def _learn(docs: DataFrame, subjects: list[str], model: Model | None, clear: flo
                     w = value[:, j][s.at]
                     keep = np.flatnonzero(w > 0.01)
                     key = s.bucket[keep].astype(np.int64) * k + top[:, j][s.at[keep]]
-                    found, inverse = np.unique(key, return_inverse=True)
-                    sums[found] += np.bincount(inverse, w[keep]).astype(np.float32)
+                    np.add.at(sums, key, w[keep].astype(np.float32))
         key = np.flatnonzero(sums > 0)
         yield pd.DataFrame({"key": key.astype(np.int32), "n": sums[key]})
 
