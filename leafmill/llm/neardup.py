@@ -12,7 +12,6 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS, written
@@ -102,13 +101,12 @@ def near_duplicates(texts: DataFrame, id_col: str, text_col: str, similarity: fl
     one = ok.where("text <> ''").join(_small(copies), "id", "left_anti")
     signed = written(one.select("id", sign("text").alias("s")).select("id", "s.bands", "s.sketch"), "signed")
 
-    same = W.partitionBy("band").orderBy("id")
     placed = signed.select("id", F.posexplode("bands").alias("i", "h")).select("id", (F.col("i").cast("long") * (1 << 32) + F.col("h")).alias("band"))
-    placed = placed.select("id", "band", F.lead("id").over(same).alias("next"), F.row_number().over(same).alias("place"))
-    shared = placed.where("next is not null or place > 1").select("id", "band", F.floor((F.col("place") - 1) / BLOCK).cast("int").alias("block"))
+    # members are counted with a map-side combine; only bands of two or more stay, and hash into their blocks
+    several = placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    shared = placed.join(written(several, "bands"), "band")
+    shared = shared.select("id", "band", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), (F.col("blocks") - 1).alias("last"))
     shared = written(shared, "buckets")
-    last = shared.where("block > 0").groupBy("band").agg(F.max("block").alias("last"))
-    shared = shared.join(last, "band", "left").na.fill(0, ["last"])
     # block i meets blocks i..last: the left side goes to each of them, the right side only to its own
     left = shared.select("band", F.col("id").alias("a"), F.explode(F.sequence("block", "last")).alias("block"))
     right = shared.select("band", F.col("id").alias("b"), "block")
