@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .functions.text import LEVELS, NUMERAL, PAGE_NUMBER, UNIT_NOTE, WS
+from .plans.request import BOUNDS
 
 
 def strip(x: str) -> str:
@@ -85,7 +86,9 @@ TABLES = f"""{B}, t0 AS (SELECT *, {columns('content')} AS columns FROM b),
 t1 AS (SELECT *, lag(kind) OVER w AS pk, lag(section) OVER w AS ps, lag(page) OVER w AS pp, lag(columns) OVER w AS pc FROM t0 WINDOW w AS (PARTITION BY report_no ORDER BY block_no)),
 t2 AS (SELECT *, CASE WHEN pk = 'table' AND ps = section AND page = pp + 1 AND pc = columns AND columns > 0 THEN 0 ELSE 1 END AS head FROM t1 WHERE kind = 'table'),
 runs AS (SELECT *, sum(head) OVER (PARTITION BY report_no ORDER BY block_no) AS run FROM t2)"""
+SETTINGS = "st AS (SELECT question_id, " + ", ".join(f"greatest({a}, least({c}, coalesce({n}, {b}))) AS {n}" for n, (a, b, c) in BOUNDS.items()) + " FROM questions)"
 FILTERS = ITEMS + f""",
+{SETTINGS},
 q AS (SELECT question_id, coalesce(question, '') AS question, stock_code AS qcode, year AS qyear, years AS qyears FROM questions),
 names AS (SELECT company_name, arg_max(stock_code, vector_id) AS code, min(vector_id) AS seen FROM items WHERE company_name <> '' AND stock_code <> '' AND length(company_name) >= 2 GROUP BY 1),
 hit AS (SELECT question_id, code, company_name FROM (SELECT question_id, code, company_name, row_number() OVER (PARTITION BY question_id ORDER BY length(company_name) DESC, seen) r FROM q JOIN names ON contains(question, company_name)) WHERE r = 1),
@@ -105,22 +108,22 @@ mean AS (SELECT sig, avg(raw) AS m FROM dfs GROUP BY 1),
 asked AS (SELECT question_id, sig, term, count(*) AS qtf FROM (SELECT question_id, unnest({grams('question')}) AS term FROM q) JOIN s USING (question_id) GROUP BY 1, 2, 3),
 sc AS (SELECT question_id, el.vector_id AS vector_id, round(sum(qtf * CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * post.n / avgdl))), 4) AS bm25_score
   FROM asked JOIN dfs USING (sig, term) JOIN mean USING (sig) JOIN el USING (sig) JOIN post ON post.vector_id = el.vector_id AND post.term = asked.term GROUP BY 1, 2),
-kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY bm25_score DESC, vector_id) AS bm25_rank FROM sc WHERE bm25_score > 0) WHERE bm25_rank <= 20)"""
+kw AS (SELECT question_id, vector_id, bm25_score, bm25_rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY bm25_score DESC, vector_id) AS bm25_rank FROM sc WHERE bm25_score > 0) JOIN st USING (question_id) WHERE bm25_rank <= bm25_top_k)"""
 VEC = BM25 + """,
 qv AS (SELECT question_id, vec AS qvec FROM kw JOIN items USING (vector_id) WHERE bm25_rank = 1),
 vs AS (SELECT question_id, i.vector_id, round(list_sum(list_transform(range(1, 65), lambda k: qvec[k] * i.vec[k])), 6) AS vector_score FROM qv JOIN s USING (question_id) JOIN el USING (sig) JOIN items i ON i.vector_id = el.vector_id),
-vk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY vector_score DESC, vector_id) AS vector_rank FROM vs) WHERE vector_rank <= 20)"""
+vk AS (SELECT question_id, vector_id, vector_score, vector_rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY vector_score DESC, vector_id) AS vector_rank FROM vs) JOIN st USING (question_id) WHERE vector_rank <= vector_top_k)"""
 RRF = VEC + """,
-fu AS (SELECT question_id, vector_id, vector_rank, bm25_rank, round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0), 9) AS rrf_score,
-  concat_ws(',', CASE WHEN vector_rank IS NOT NULL THEN 'vector' END, CASE WHEN bm25_rank IS NOT NULL THEN 'bm25' END) AS sources FROM vk FULL JOIN kw USING (question_id, vector_id)),
+fu AS (SELECT question_id, vector_id, vector_rank, bm25_rank, round(coalesce(1.0::DOUBLE / (rrf_k + vector_rank), 0) + coalesce(1.0::DOUBLE / (rrf_k + bm25_rank), 0), 9) AS rrf_score,
+  concat_ws(',', CASE WHEN vector_rank IS NOT NULL THEN 'vector' END, CASE WHEN bm25_rank IS NOT NULL THEN 'bm25' END) AS sources FROM vk FULL JOIN kw USING (question_id, vector_id) JOIN st USING (question_id)),
 fr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rrf_score DESC, vector_rank NULLS LAST, bm25_rank, vector_id) AS rrf_rank FROM fu)"""
 RANKED = RRF + f""",
 rs AS (SELECT question_id, vector_id, rrf_rank, round(len(list_intersect(a, c)) / greatest(len(a), 1), 6) AS rerank_score FROM fr
-  JOIN (SELECT question_id, list_distinct({grams('question')}) AS a FROM q) USING (question_id) JOIN (SELECT vector_id, list_distinct({grams('content')}) AS c FROM items) USING (vector_id) WHERE rrf_rank <= 20),
-rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, rrf_rank) AS rerank_rank FROM rs WHERE rerank_score >= 0.25) WHERE rerank_rank <= 4)"""
+  JOIN (SELECT question_id, list_distinct({grams('question')}) AS a FROM q) USING (question_id) JOIN (SELECT vector_id, list_distinct({grams('content')}) AS c FROM items) USING (vector_id) JOIN st USING (question_id) WHERE rrf_rank <= rerank_candidates),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, rrf_rank) AS rerank_rank FROM rs JOIN st USING (question_id) WHERE rerank_score >= rerank_threshold) WHERE rerank_rank <= top_k)"""
 CONTEXT = RANKED + f""",
-cx AS (SELECT * FROM (SELECT question_id, vector_id, chunk_id, rerank_rank, rerank_score, text, sum(length(text)) OVER (PARTITION BY question_id ORDER BY rerank_rank) AS used
-  FROM (SELECT *, {doc('rerank_rank')} AS text FROM rk JOIN items USING (vector_id))) WHERE rerank_rank = 1 OR used <= 8000)"""
+cx AS (SELECT question_id, vector_id, chunk_id, rerank_rank, rerank_score, text, used FROM (SELECT question_id, vector_id, chunk_id, rerank_rank, rerank_score, text, sum(length(text)) OVER (PARTITION BY question_id ORDER BY rerank_rank) AS used
+  FROM (SELECT *, {doc('rerank_rank')} AS text FROM rk JOIN items USING (vector_id))) JOIN st USING (question_id) WHERE rerank_rank = 1 OR used <= max_context_chars)"""
 
 
 
@@ -202,6 +205,6 @@ ORACLES: dict[str, str] = {
         SELECT question_id, coalesce(cited, 0) AS cited, md5(coalesce(context, '根据已检索到的资料，无法回答该问题。')) AS context_md5 FROM questions LEFT JOIN a USING (question_id)""",
     "no_evidence": f"WITH {RANKED} SELECT question_id FROM questions WHERE question_id NOT IN (SELECT question_id FROM rk)",
     "debug_preview": f"SELECT vector_id::BIGINT AS vector_id, {pages('meta.page_start', 'meta.page_end')} AS pages, substr(content, 1, 200) AS preview FROM metadata",
-    "ui_candidate": f"""WITH {RANKED} SELECT rk.question_id, vector_id, format('{{:.4f}}', rerank_score) AS score, substr(content, 1, coalesce(content_preview_chars, 300)) AS preview, CASE WHEN include_content THEN length(content) END AS full_chars
-        FROM rk JOIN items USING (vector_id) JOIN questions ON questions.question_id = rk.question_id""",
+    "ui_candidate": f"""WITH {RANKED} SELECT rk.question_id, vector_id, format('{{:.4f}}', rerank_score) AS score, substr(content, 1, st.content_preview_chars) AS preview, CASE WHEN include_content THEN length(content) END AS full_chars
+        FROM rk JOIN items USING (vector_id) JOIN questions ON questions.question_id = rk.question_id JOIN st ON st.question_id = rk.question_id""",
 }

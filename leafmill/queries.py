@@ -313,7 +313,7 @@ def _stages(spark, d):
 def _vectors(q, it, f, kw):
     """The offline embedder: a question has the vector of its best keyword hit."""
     own = kw.where("bm25_rank = 1").join(it.select("vector_id", F.col("vec").alias("qvec")), "vector_id").select("question_id", "qvec")
-    return R.vector_hits(own, f, it)
+    return R.vector_hits(own, f, it, q)
 
 
 def bm25_topk(spark, d):
@@ -326,12 +326,12 @@ def vector_topk(spark, d):
 
 def rrf_fusion(spark, d):
     s = _stages(spark, d)
-    return R.fused(_vectors(*s), s[3]).select("question_id", "vector_id", "rrf_score", "rrf_rank", "sources")
+    return R.fused(_vectors(*s), s[3], s[0]).select("question_id", "vector_id", "rrf_score", "rrf_rank", "sources")
 
 
 def _ranked(spark, d):
     s = _stages(spark, d)
-    best = R.fused(_vectors(*s), s[3]).where("rrf_rank <= 20")  # before the costlier scorer
+    best = R.fused(_vectors(*s), s[3], s[0]).where("candidate")  # before the costlier scorer
     return s[0], s[1], written(R.reranked(best, s[0], s[1]), "ranked")
 
 
@@ -346,14 +346,14 @@ def rerank_document(spark, d):
 
 def references(spark, d):
     """The items cited for each question, with the characters they use of the context."""
-    _, it, ranked = _ranked(spark, d)
-    return R.context_items(ranked, it).select("question_id", F.col("rerank_rank").alias("ref_id"), "vector_id", "chunk_id", "rerank_score", F.col("used").cast("long").alias("used"))
+    q, it, ranked = _ranked(spark, d)
+    return R.context_items(ranked, it, q).select("question_id", F.col("rerank_rank").alias("ref_id"), "vector_id", "chunk_id", "rerank_score", F.col("used").cast("long").alias("used"))
 
 
 def hybrid_answer(spark, d):
     """End to end: the context of each question, or the fixed sentence where nothing was found."""
     q, it, ranked = _ranked(spark, d)
-    c = R.context_items(ranked, it).groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rerank_rank", "text"))), lambda x: x["text"]), "\n\n").alias("context"), F.count("*").alias("cited"))
+    c = R.context_items(ranked, it, q).groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rerank_rank", "text"))), lambda x: x["text"]), "\n\n").alias("context"), F.count("*").alias("cited"))
     none = F.lit("根据已检索到的资料，无法回答该问题。")
     return q.select("question_id").join(c, "question_id", "left").select("question_id", F.coalesce("cited", F.lit(0)).alias("cited"), F.md5(F.coalesce("context", none)).alias("context_md5"))
 
@@ -371,9 +371,9 @@ def debug_preview(spark, d):
 def ui_candidate(spark, d):
     """Re-ranked items with the previews that each question asks for."""
     q, it, ranked = _ranked(spark, d)
-    c = ranked.join(it.select("vector_id", "chunk_id", "content"), "vector_id").join(table(spark, d, "questions").select("question_id", "content_preview_chars", "include_content"), "question_id")
-    n = F.coalesce("content_preview_chars", F.lit(300))
-    return c.select("question_id", "vector_id", F.format_string("%.4f", "rerank_score").alias("score"), F.expr("substring(content, 1, coalesce(content_preview_chars, 300))").alias("preview"), F.when(F.col("include_content"), F.length("content")).cast("long").alias("full_chars"))
+    c = ranked.join(it.select("vector_id", "chunk_id", "content"), "vector_id").join(q.select("question_id", "include_content"), "question_id")
+    c = R.with_settings(c, q, "content_preview_chars")
+    return c.select("question_id", "vector_id", F.format_string("%.4f", "rerank_score").alias("score"), F.expr("substring(content, 1, content_preview_chars)").alias("preview"), F.when(F.col("include_content"), F.length("content")).cast("long").alias("full_chars"))
 
 
 QUERIES = {

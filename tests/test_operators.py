@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -112,3 +113,33 @@ def test_fusion_ties(spark):
     assert [r.vector_id for r in got] == [10, 12, 11]
     assert abs(got[0].rrf_score - (1 / 61 + 1 / 62)) < 1e-9
     assert R.fused(v.limit(0), k.limit(0)).count() == 0
+
+
+def test_settings_of_questions(spark):
+    q = spark.createDataFrame([(1, 7, None), (2, 900, 0.5), (3, 0, 2.0), (3, 0, 0.1)], "question_id long, top_k int, rerank_threshold double")
+    d = spark.createDataFrame([(1,), (2,), (3,), (4,)], "question_id long")
+    got = {r.question_id: (r.top_k, r.rerank_threshold, r.rrf_k) for r in R.with_settings(d, q, "top_k", "rerank_threshold", "rrf_k").collect()}
+    assert got == {1: (7, 0.25, 60), 2: (20, 0.5, 60), 3: (1, 1.0, 60), 4: (4, 0.25, 60)}
+    assert R.with_settings(d, None, "top_k").where("top_k = 4").count() == 4
+
+
+def test_vector_hits_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(R, "ITEM_BLOCK", 9)  # several blocks of items and of queries
+    monkeypatch.setattr(R, "QUERY_BLOCK", 2)
+    rng = np.random.RandomState(4)
+    x = rng.randn(60, 5)
+    x[10:40] = x[10]  # ties beyond k
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code = ["a" if i % 3 else "b" for i in range(60)]
+    items = spark.createDataFrame([(i, code[i], "2020", x[i].tolist(), "z") for i in range(60)], "vector_id long, stock_code string, year string, vec array<double>, k string")
+    filters = spark.createDataFrame([(n, "b" if n % 2 else None, None, []) for n in range(8)] + [(8, "none", None, [])], "question_id long, code string, year string, years array<string>")
+    queries = spark.createDataFrame([(n, x[n + 5].tolist()) for n in range(9)], "question_id long, qvec array<double>")
+    asked = spark.createDataFrame([(n, 3 + n) for n in range(8)], "question_id long, vector_top_k int")
+    got = {}
+    for r in R.vector_hits(queries, filters, items, asked).orderBy("question_id", "vector_rank").collect():
+        got.setdefault(r.question_id, []).append(r.vector_id)
+    s = np.round(x[5:13] @ x.T, 6)
+    want = {n: sorted((i for i in range(60) if n % 2 == 0 or code[i] == "b"), key=lambda i: (-s[n, i], i))[: 3 + n] for n in range(8)}
+    assert got == want
+    assert R.vector_hits(queries.limit(0), filters, items).count() == 0
+    assert R.vector_hits(queries, filters, items.limit(0)).count() == 0
