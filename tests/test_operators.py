@@ -143,3 +143,20 @@ def test_vector_hits_equal_brute_force(spark, monkeypatch):
     assert got == want
     assert R.vector_hits(queries.limit(0), filters, items).count() == 0
     assert R.vector_hits(queries, filters, items.limit(0)).count() == 0
+
+
+def test_keyword_hits_of_odd_items(spark):
+    schema = "vector_id long, content string, stock_code string, year string, sig string, atom string"
+    rows = [(1, "营业收入增长", "600001", "2020"), (2, "营业收入", None, "2020"), (3, None, "600001", None), (4, "", "", ""), (5, "净利润", "600001", "2021"), (6, "研发投入", "600002", "2021"), (7, "货币资金", "600003", "2019")]
+    items = spark.createDataFrame([(*r, "x", "y") for r in rows], schema)
+    asked = [(1, "营业收入"), (2, "营业收入"), (3, None), (4, "净利润")]
+    questions = spark.createDataFrame(asked, "question_id long, question string")
+    none: list = []
+    filters = spark.createDataFrame([(1, None, None, none), (2, None, "2021", ["2020"]), (3, None, None, none), (4, "600001", None, ["2021", "2020", "2020"])], "question_id long, code string, year string, years array<string>")
+    got = {}
+    for r in R.keyword_hits(questions, filters, items).orderBy("question_id", "bm25_rank").collect():
+        got.setdefault(r.question_id, []).append(r.vector_id)
+    assert got[1] == [2, 1] and set(got) <= {1, 4}  # the shorter text first; a year and other years exclude each other
+    assert {(r.question_id, r.n) for r in R.eligible(filters, items).join(R.signatures(filters), "sig").groupBy("question_id").agg(F.count("*").alias("n")).collect()} == {(1, 7), (3, 7), (4, 2)}
+    assert R.keyword_hits(questions, filters, items.limit(0)).count() == 0
+    assert R.keyword_hits(questions.limit(0), filters.limit(0), items).count() == 0
