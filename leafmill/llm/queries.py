@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -51,7 +51,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
-    return unify.consistent_form(table(spark, d, "metadata"), "vector_id", "content")
+    """One form for every content of all_chunks, metadata and parsed, under one vocabulary.
+
+    ``block_no`` counts the blocks of a report from 1; rows of the other tables have 0.
+    """
+    chunks, items = table(spark, d, "all_chunks"), table(spark, d, "metadata")
+    blocks = table(spark, d, "parsed").select("report_no", F.posexplode("blocks").alias("k", "b"))
+
+    def under(name: str, key: str, block_no: Column) -> Column:
+        return F.struct(F.lit(name).alias("table"), F.col(key).cast("long").alias("key"), block_no.cast("long").alias("block_no")).alias("id")
+
+    every = chunks.select(under("all_chunks", "chunk_no", F.lit(0)), "content")
+    every = every.unionByName(items.select(under("metadata", "vector_id", F.lit(0)), "content"))
+    every = every.unionByName(blocks.select(under("parsed", "report_no", F.col("k") + 1), F.col("b.content").alias("content")))
+    return unify.consistent_form(every, "id", "content").select("id.table", "id.key", "id.block_no", "form")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

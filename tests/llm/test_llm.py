@@ -42,6 +42,19 @@ def test_consistent_form(spark):
     assert unify.consistent_form(d.limit(0), "chunk_no", "content").count() == 0
 
 
+def test_forms_are_one_over_all_tables(spark, tmp_path):
+    from leafmill.llm.queries import p5_forms
+
+    block = "content string, meta struct<page: int>"
+    spark.createDataFrame([(7, "使用OTC模块"), (8, None)], "chunk_no long, content string").write.parquet(f"{tmp_path}/all_chunks.parquet")
+    spark.createDataFrame([(0, "使用OТС模块")], "vector_id int, content string").write.parquet(f"{tmp_path}/metadata.parquet")
+    rows = [(7, [("", (1,)), ("使用ОTС模块", (1,)), None]), (8, None), (9, [])]
+    spark.createDataFrame(rows, f"report_no long, blocks array<struct<{block}>>").write.parquet(f"{tmp_path}/parsed.parquet")
+    got = {(r.table, r.key, r.block_no): r.form for r in p5_forms(spark, str(tmp_path)).collect()}
+    same = "使用OTC模块"  # the Latin spelling is in all_chunks only
+    assert got == {("all_chunks", 7, 0): same, ("all_chunks", 8, 0): None, ("metadata", 0, 0): same, ("parsed", 7, 1): "", ("parsed", 7, 2): same, ("parsed", 7, 3): None}
+
+
 def _jaccard(a, b, n=4):
     x, y = ({t[i : i + n] for i in range(max(1, len(t) - n + 1))} for t in (a, b))
     return len(x & y) / len(x | y)
