@@ -57,12 +57,13 @@ def absorbable(candidate_kind, candidate_text, same_section, page_gap):
     return near & (((candidate_kind == "title") & T.is_short_title(candidate_text)) | ((candidate_kind == "text") & T.is_unit_note(candidate_text)))
 
 
-def build_chunks(blocks: DataFrame) -> DataFrame:
+def build_chunks(blocks: DataFrame, limit: int = 1000) -> DataFrame:
     """Chunks of each report in order: ``report_no``, ``chunk_seq``, ``chunk_type``, ``chunk_id``, ``content``, ``page_start``, ``page_end``, ``n_blocks``.
 
     Titles end a text; a change of section ends it; a table takes up to two blocks before it as context,
-    titles always and a unit note while it has not been emitted; tables that run on are one chunk. Blank
-    chunks are left out. Windows run within a report.
+    titles always and a unit note while it has not been emitted; tables that run on are one chunk. A text
+    longer than ``limit`` is split, each part with the pages of the blocks it overlaps. Blank chunks are left
+    out. Windows run within a report.
     """
     order = W.partitionBy("report_no").orderBy("block_no")
     heads = table_runs(blocks).select("report_no", "block_no", "head", "run")
@@ -97,18 +98,50 @@ def build_chunks(blocks: DataFrame) -> DataFrame:
         F.lit("table").alias("kind"), item.alias("item"),
     )
     c = own.unionByName(context).groupBy("report_no", "island").agg(F.max("kind").alias("k"), F.array_sort(F.collect_list("item")).alias("items"))
-    body = F.array_join(F.filter(F.transform("items", lambda x: T.normalize_text(x["content"])), lambda t: t != ""), "\n\n")
-    pages = F.filter(F.transform("items", lambda x: x["page"]), lambda p: p != 0)
-    first = F.element_at("items", 1)
+    said = F.filter(F.transform("items", lambda x: x.withField("content", T.normalize_text(x["content"]))), lambda x: x["content"] != "")
+    c = c.withColumn("said", said).withColumn("body", F.array_join(F.transform("said", lambda x: x["content"]), "\n\n"))
+    c = c.withColumn("parts", F.when(F.col("k") == "text", split_long_text(F.col("body"), limit)).otherwise(F.array(T.normalize_text(F.col("body")))))
+    c = c.withColumn("ranges", block_ranges("said")).select("report_no", "island", "k", "items", "ranges", F.posexplode(located("parts", "body")).alias("part_no", "part"))
+    over = F.transform(F.filter("ranges", lambda r: (r["start"] < F.col("part.end")) & (r["end"] > F.col("part.start"))), lambda r: r["item"])
+    c = c.withColumn("of", F.when((F.col("k") == "text") & (F.size(over) > 0), over).otherwise(F.col("items")))
+    pages = F.filter(F.transform("of", lambda x: x["page"]), lambda p: p != 0)
+    first = F.element_at("of", 1)
     c = c.select(
-        "report_no", "island", F.when(F.col("k") == "table", "table").otherwise("text").alias("chunk_type"), T.normalize_text(body).alias("content"),
-        F.coalesce(F.array_min(pages), F.lit(0)).alias("page_start"), F.coalesce(F.array_max(pages), F.lit(0)).alias("page_end"), F.size("items").cast("long").alias("n_blocks"),
+        "report_no", "island", "part_no", F.when(F.col("k") == "table", "table").otherwise("text").alias("chunk_type"), T.normalize_text(F.col("part.text")).alias("content"),
+        F.coalesce(F.array_min(pages), F.lit(0)).alias("page_start"), F.coalesce(F.array_max(pages), F.lit(0)).alias("page_end"), F.size("of").cast("long").alias("n_blocks"),
         first["stock_code"].alias("code"), first["company_name"].alias("company"), first["year"].alias("year"),
     ).where("content <> ''")
-    seq = F.row_number().over(W.partitionBy("report_no").orderBy("island"))
+    seq = F.row_number().over(W.partitionBy("report_no").orderBy("island", "part_no"))
     return c.withColumn("chunk_seq", seq.cast("long")).select("report_no", "chunk_seq", "chunk_type", chunk_id("code", "company", "year", "chunk_seq").alias("chunk_id"), "content", "page_start", "page_end", "n_blocks")
 
 
+def block_ranges(items: str):
+    """Where each item stands in the items' contents joined by a blank line."""
+    kind = "array<struct<start:int,end:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(s, x):
+        end = s["at"] + F.length(x["content"])
+        return F.struct((end + 2).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), end.alias("end")))).alias("out"))
+
+    placed = F.aggregate(items, start, step, lambda s: s["out"])
+    return F.zip_with(placed, F.col(items), lambda r, x: F.struct(r["start"].alias("start"), r["end"].alias("end"), x.alias("item")))
+
+
+def located(parts: str, body: str):
+    """Each part with its place in the text, looked for from the end of the part before."""
+    kind = "array<struct<text:string,start:int,end:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(s, p):
+        found = F.position(p, F.col(body), s["at"] + 1)
+        begin = F.when(found > 0, found - 1).otherwise(s["at"])
+        end = begin + F.length(p)
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(p.alias("text"), begin.alias("start"), end.alias("end")))).alias("out"))
+
+    return F.aggregate(parts, start, step, lambda s: s["out"])
+
+
 def chunk_id(code: str, company: str, year: str, seq: str):
     name = F.coalesce(F.nullif(F.col(code), F.lit("")), T.safe_filename(F.col(company)))
     return F.format_string("%s_%s_%06d", name, F.coalesce(F.nullif(F.col(year), F.lit("")), F.lit("unknown")), F.col(seq).cast("long"))

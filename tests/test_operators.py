@@ -75,6 +75,16 @@ def test_block_sequences(spark, rows, types):
     assert [(r.chunk_type, r.content) for r in got] == types
 
 
+def test_long_islands_are_split(spark):
+    same = "甲" * 299 + "。" + "乙" * 299 + "。"
+    rows = [("text", same, 1, "a"), ("text", " ", 9, "a"), ("text", same, 2, "a"), ("text", "丙" * 300, 3, "a"), ("title", "T", 3, "a"), ("text", "x" * 2500, 4, "a"), ("table", "| " + "b" * 1500 + " |", 5, "b"), ("text", "Y", 6, "b")]
+    got = C.build_chunks(_blocks(spark, rows)).orderBy("chunk_seq").collect()
+    assert [(r.chunk_seq, r.chunk_type, len(r.content), r.page_start, r.page_end, r.n_blocks) for r in got] == [
+        (1, "text", 600, 1, 1, 1), (2, "text", 902, 2, 3, 2), (3, "text", 1000, 4, 4, 1), (4, "text", 1000, 4, 4, 1), (5, "text", 500, 4, 4, 1), (6, "table", 1504, 5, 5, 1), (7, "text", 1, 6, 6, 1),
+    ]
+    assert [r.chunk_id[-6:] for r in got] == [f"{k:06d}" for k in range(1, 8)]
+
+
 METRICS = [("revenue", "营业收入", "Operating revenue", "money"), ("mass", "产品产量", "Product output", "mass"), ("staff", "员工总数", "Headcount", "people")]
 
 
