@@ -57,8 +57,12 @@ def words_to_text(words: DataFrame, keys: list[str]) -> DataFrame:
     return folded.select(*keys, T.normalize_text(F.array_join(lines, "\n")).alias("text"))
 
 
-def table_markdown(cells: DataFrame, words: DataFrame) -> DataFrame:
-    """Each table as Markdown: the first row that isn't blank is the header; bars are escaped; rows are padded."""
+def table_markdown(cells: DataFrame, words: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Each table as Markdown: the first row that isn't blank is the header; bars are escaped; rows are padded.
+
+    ``tables`` has the box of each table (``bbox``). A table without any text in its cells, or without cells,
+    is the plain text of the words in its box; without ``tables`` it is left out, as its box isn't known.
+    """
     key = [*PAGE, "table_no", "row_no", "col_no"]
     w = words.alias("w").join(cells.where("bbox is not null").alias("c"), [F.col("w.doc_id") == F.col("c.doc_id"), F.col("w.page") == F.col("c.page"), centre_inside("w", "c.bbox", CELL_TOLERANCE)])
     inside = words_to_text(w.select("c.doc_id", "c.page", "c.table_no", "c.row_no", "c.col_no", "w.x0", "w.y0", "w.text"), key)
@@ -71,7 +75,15 @@ def table_markdown(cells: DataFrame, words: DataFrame) -> DataFrame:
 
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("n")), " | "), F.lit(" |"))
     lines = F.transform("rows", line)
-    return t.select(*PAGE, "table_no", F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 100_000)), "\n").alias("markdown"))
+    t = t.select(*PAGE, "table_no", F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 100_000)), "\n").alias("markdown"))
+    if tables is None:
+        return t
+    table = [*PAGE, "table_no"]
+    bare = tables.select(*table, "bbox").join(t.select(*table), table, "left_anti")
+    on = [F.col("w.doc_id") == F.col("b.doc_id"), F.col("w.page") == F.col("b.page"), centre_inside("w", "b.bbox", CELL_TOLERANCE)]
+    own = words_to_text(words.alias("w").join(bare.alias("b"), on).select("b.doc_id", "b.page", "b.table_no", "w.x0", "w.y0", "w.text"), table)
+    plain = bare.select(*table).join(own, table, "left").select(*table, F.coalesce("text", F.lit("")).alias("markdown"))
+    return t.unionByName(plain)
 
 
 def repeated_marginals(blocks: DataFrame, pages: DataFrame, least: int = 3) -> DataFrame:

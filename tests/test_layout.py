@@ -22,6 +22,17 @@ def test_words_and_tables(spark):
     assert L.table_markdown(cells.limit(0), words).count() == 0
 
 
+def test_tables_without_cell_text_keep_their_words(spark):
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    words = spark.createDataFrame([_word(20.0, 10.0, "b"), _word(10.0, 11.0, "a|"), _word(10.0, 30.0, "c"), _word(10.0, 60.0, "d"), _word(200.0, 10.0, "out")])
+    cells = [(0, 0, 0, None), (0, 0, 1, None), (1, 0, 0, (5.0, 55.0, 40.0, 70.0)), (3, 0, 0, (300.0, 300.0, 310.0, 310.0))]  # table 2 has no cells
+    cells = spark.createDataFrame([("d", 1, *c) for c in cells], f"doc_id string, page long, table_no int, row_no int, col_no int, bbox {box}")
+    tables = [(0, (5.0, 5.0, 40.0, 40.0)), (1, (5.0, 55.0, 40.0, 70.0)), (2, (195.0, 5.0, 210.0, 20.0)), (3, (500.0, 500.0, 510.0, 510.0))]
+    tables = spark.createDataFrame([("d", 1, *t) for t in tables], f"doc_id string, page long, table_no int, bbox {box}")
+    got = {r.table_no: r.markdown for r in L.table_markdown(cells, words, tables).collect()}
+    assert got == {0: "a| b\nc", 1: "| d |\n| --- |", 2: "out", 3: ""}
+
+
 def test_blocks_are_classified(spark):
     box = "struct<x0:double,y0:double,x1:double,y1:double>"
     rows = [("d", 1, k, 0, 0, (0.0, 100.0 + 20 * k, 50.0, 110.0 + 20 * k), t, s, "Song", 0) for k, (t, s) in enumerate([("第一节 概况", 12.0), ("正文内容，说明。", 10.0), ("12", 10.0), ("in table", 10.0), ("", 10.0)])]
