@@ -35,9 +35,8 @@ def load_chunks(chunks: DataFrame, limit: int = 0) -> DataFrame:
     return rows.where(T.strip(F.coalesce("content", F.lit(""))) != "")
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache; a missing one is empty."""
-    schema = "seq long, chunk_id string, embedding array<float>"
+def _appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows appended to a folder; a missing one is empty."""
     try:
         return spark.read.schema(schema).parquet(path)
     except Exception as e:
@@ -46,10 +45,24 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache; a missing one is empty."""
+    return _appended(spark, path, "seq long, chunk_id string, embedding array<float>")
+
+
+def read_failed(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks whose embedding failed, with their text for another try; a missing table is empty."""
+    return _appended(spark, path, "seq long, chunk_id string, content string, error string")
+
+
 def append_cache(records: DataFrame, path: str) -> None:
     records.select("seq", "chunk_id", "embedding").write.mode("append").parquet(path)
 
 
+def append_failed(records: DataFrame, path: str) -> None:
+    records.select("seq", "chunk_id", "content", "error").write.mode("append").parquet(path)
+
+
 def load_index(spark: SparkSession, path: str) -> DataFrame:
     """Index items; raises if ids aren't dense from 0 or a vector is missing."""
     items = spark.read.parquet(path)

@@ -81,6 +81,38 @@ def test_stream_resumes(spark, tmp_path):
     assert sorted(r.chunk_id for r in S.read_cache(spark, cache).collect()) == ["a", "c"]
 
 
+def test_stream_records_and_retries_failures(spark, tmp_path):
+    from leafmill.streaming.ingest import embed_stream, open_failures
+
+    schema, src, cache, up, calls = "chunk_no long, chunk_id string, content string", f"{tmp_path}/in", f"{tmp_path}/cache", f"{tmp_path}/up", f"{tmp_path}/calls"
+
+    def flaky(texts):
+        import os
+
+        with open(calls, "a") as f:
+            f.write("\n".join(texts) + "\n")
+        if "bad" in texts or not os.path.exists(up):
+            raise RuntimeError("down")
+        return offline_embedder(texts)
+
+    def run(*rows):
+        if rows:
+            spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(src)
+        embed_stream(spark.readStream.schema(schema).parquet(src), cache, f"{tmp_path}/cp", flaky).awaitTermination()
+        left = {r.chunk_id for r in open_failures(spark, cache, f"{cache}-failed").collect()}
+        return {r.chunk_id for r in S.read_cache(spark, cache).collect()}, left
+
+    assert run((1, "a", "x")) == (set(), {"a"})
+    assert open(calls).read().split() == ["x"] * 3  # three attempts, not three for each table
+    assert run((2, "a", "x"), (3, "c", "y")) == (set(), {"a", "c"})
+    assert [(r.chunk_id, r.error) for r in S.read_failed(spark, f"{cache}-failed").orderBy("seq").collect()] == [("a", "down"), ("c", "down")]
+    (tmp_path / "up").write_text("")
+    assert run() == ({"a", "c"}, set())  # without a new file
+    assert run((4, "d", "bad")) == ({"a", "c"}, {"d"})
+    seqs = [r.seq for r in S.read_cache(spark, cache).collect()]
+    assert len(seqs) == len(set(seqs)) == 2
+
+
 def test_sources(spark, tmp_path):
     assert S.read_cache(spark, f"{tmp_path}/none").count() == 0
     (tmp_path / "a.PDF").write_bytes(b"x")
