@@ -75,6 +75,11 @@ def p6_words(spark: SparkSession, d: str) -> DataFrame:
     return tokens.word_round_trip(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each document comes back from its ids."""
+    return tokens.text_round_trip(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p7_windows(spark: SparkSession, d: str) -> DataFrame:
     sizes = tokens.encode_corpus(table(spark, d, "documents"), "doc_id", "text", counts=True)
     return packing.pack(sizes, table(spark, d, "token_windows"))
@@ -96,7 +101,7 @@ def p8_subjects(spark: SparkSession, d: str) -> DataFrame:
     return subjects.calibrated(subjects.written(_shares(spark, d), "shares"), table(spark, d, "subject_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_groups, p3_found, p3_pieces, p5_found, p5_forms, p6_ids, p6_words, p7_windows, p8_found, p8_subjects)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_groups, p3_found, p3_pieces, p5_found, p5_forms, p6_ids, p6_words, p6_texts, p7_windows, p8_found, p8_subjects)}
 _WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
 ORACLES: dict[str, str] = {
     "p1_found": """WITH cur AS (SELECT chunk_id, embedding AS e FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY seq DESC) r FROM embedding_cache) WHERE r = 1),

@@ -128,14 +128,31 @@ def piece_table(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = T
     return spark.createDataFrame([(i, bytearray(b)) for b, i in ranks_of(name, folder).items()], "piece_id int, piece binary")
 
 
-def decode_ids(df: DataFrame, id_col: str, ids_col: str, pieces: DataFrame) -> DataFrame:
+def decode_ids(df: DataFrame, id_col: str, ids_col: str, pieces: DataFrame, slice_ids: int | None = None) -> DataFrame:
     """``id_col`` and ``text`` of the id lists, by a join with ``pieces``; an empty or null list gives an empty text.
 
     An id without a piece, or a null one, is left out; bytes that are no UTF-8 give replacement characters.
+    With ``slice_ids`` the pieces of so many ids are put together first, so that a very long text is no
+    single list of pieces, and the lists are shuffled ahead of the join instead of their pieces behind it.
     """
+    df = df.repartition(id_col) if slice_ids else df
     each = df.select(id_col, F.posexplode_outer(ids_col).alias("pos", "piece_id")).join(F.broadcast(pieces), "piece_id", "left")
-    joined = each.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", F.hex("piece").alias("h"))))).alias("p"))
-    return joined.select(id_col, F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")), "UTF-8").alias("text"))
+    part = F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", F.hex("piece").alias("h"))))
+    if slice_ids:
+        each = each.withColumn("slice", F.floor(F.col("pos") / slice_ids)).groupBy(id_col, "slice").agg(F.array_sort(part).alias("p"))
+        each = each.select(id_col, "slice", F.array_join(F.transform("p", lambda x: x["h"]), "").alias("h"))
+        part = F.collect_list(F.struct("slice", "h"))  # bytes of one character may lie in two slices, so that only the whole is decoded
+    joined = each.groupBy(id_col).agg(F.array_sort(part).alias("p"))
+    return joined.select(id_col, F.make_valid_utf8(F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).cast("string")).alias("text"))
+
+
+def text_round_trip(df: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """``id_col`` and ``exact``: 1 where decoding the whole text's ids gives the text back, else 0; a null text counts as empty."""
+    coded = encode_corpus(df, id_col, text_col, name, folder)
+    back = decode_ids(coded, id_col, "ids", piece_table(df.sparkSession, name, folder), slice_ids=1000)
+    own = df.select(F.col(id_col).cast("long").alias(id_col), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("own"))
+    same = F.coalesce(F.col("own") == F.col("back"), F.lit(False)).cast("long")
+    return own.join(back.select(id_col, F.sha2("text", 256).alias("back")), id_col, "left").select(id_col, same.alias("exact"))
 
 
 def word_round_trip(df: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

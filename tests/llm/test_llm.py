@@ -128,6 +128,21 @@ def test_tokens_round_trip(spark, monkeypatch):
     assert tokens.encode_corpus(d.limit(0), "doc_id", "text").count() == 0
 
 
+def test_whole_texts_come_back(spark, monkeypatch):
+    texts = [*TEXTS, "中文，混合 English 😀。" * 400]  # more than one slice
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, word string")
+    assert {r.doc_id: r.exact for r in tokens.text_round_trip(d, "doc_id", "text").collect()} == dict.fromkeys(range(len(texts)), 1)
+    ids = [(1, [5, 6, 7, 8, 9]), (2, []), (3, None)]
+    pieces = spark.createDataFrame([(5, bytearray(b"a")), (6, bytearray(b"\xe4")), (7, bytearray(b"\xb8\xad")), (8, bytearray(b"b"))], "piece_id int, piece binary")
+    coded = spark.createDataFrame(ids, "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in tokens.decode_ids(coded, "doc_id", "ids", pieces, slice_ids=2).collect()} == {1: "a中b", 2: "", 3: ""}
+    assert tokens.decode_ids(coded.limit(1).selectExpr("doc_id", "array(5, 7) as ids"), "doc_id", "ids", pieces).first().text.startswith("a\ufffd")
+    right = tokens.encode_corpus
+    shifted = lambda *a: right(*a).selectExpr("doc_id", "reverse(ids) as ids")
+    monkeypatch.setattr(tokens, "encode_corpus", shifted)
+    assert 0 in {r.exact for r in tokens.text_round_trip(d, "doc_id", "text").collect()}
+
+
 def test_packing(spark):
     rng = random.Random(2)
     sizes = [rng.choice([0, 1, 5, 40, 64, 65, 100, 200, 513]) for _ in range(3000)] + [None]
