@@ -48,10 +48,11 @@ def company_from_filename(spark, d):
 
 
 def doc_meta_fallback(spark, d):
-    """Year from the file name, then from the first blocks; code from the first blocks, then by company."""
+    """Year from the file name, then from the first three pages; code from the first three pages, then by company."""
     p = table(spark, d, "parsed")
     name = F.coalesce("doc_meta.filename", F.lit(""))
-    probe = F.array_join(F.transform(F.slice("blocks", 1, 3), lambda b: F.coalesce(b["content"], F.lit(""))), "\n")
+    first = F.filter("blocks", lambda b: F.coalesce(b["meta"]["page"], F.lit(0)) <= 3)  # a block without a page may be on the first ones
+    probe = F.array_join(F.transform(first, lambda b: F.coalesce(b["content"], F.lit(""))), "\n")
     code = F.regexp_extract(probe, r"(股票|证券|A股)(代码|简称)?[:：]?[ \t\n]*([0368]\d{5})", 3)
     rows = p.select(
         "report_no", F.coalesce(F.nullif(F.regexp_extract(name, T.YEAR, 0), F.lit("")), F.regexp_extract(F.coalesce(probe, F.lit("")), T.YEAR, 0)).alias("year"),

@@ -85,6 +85,18 @@ def test_long_islands_are_split(spark):
     assert [r.chunk_id[-6:] for r in got] == [f"{k:06d}" for k in range(1, 8)]
 
 
+def test_fallback_reads_the_first_three_pages(spark, tmp_path):
+    from leafmill.queries import doc_meta_fallback
+
+    spark.createDataFrame([("600009", "乙")], "stock_code string, company_name string").write.parquet(f"{tmp_path}/companies.parquet")
+    early = [("a", (1,)), (None, (1,)), ("b", (2,)), ("c", (2,)), ("股票代码：600001", (3,)), ("2021", (None,))]
+    late = [("a", (1,)), ("股票代码：600002 2022", (4,))]
+    rows = [(1, ("甲.pdf",), early), (2, ("甲.pdf",), late), (3, ("乙.pdf",), None)]
+    spark.createDataFrame(rows, "report_no long, doc_meta struct<filename: string>, blocks array<struct<content: string, meta: struct<page: int>>>").write.parquet(f"{tmp_path}/parsed.parquet")
+    got = {r.report_no: (r.year, r.stock_code) for r in doc_meta_fallback(spark, str(tmp_path)).collect()}
+    assert got == {1: ("2021", "600001"), 2: ("", ""), 3: ("", "600009")}
+
+
 METRICS = [("revenue", "营业收入", "Operating revenue", "money"), ("mass", "产品产量", "Product output", "mass"), ("staff", "员工总数", "Headcount", "people")]
 
 
