@@ -2,8 +2,9 @@
 
 Each position between two characters has a boundary strength. A sparse table over the strengths answers
 range-maximum queries, so the strongest cut of a permissible window is found in constant time; ties go to
-the right. The next piece starts a step back by the overlap, moved to a natural boundary, and never so far
-back that the next natural boundary gets out of reach.
+the right. Windows are never longer than the limit, so that the table has log2(limit) levels, and it is made
+slice by slice. The next piece starts a step back by the overlap; only where that would put the next natural
+boundary out of reach, and so force a cut, it is the largest step that doesn't.
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ def strengths(text: str) -> np.ndarray:
 
 
 class SparseTable:
-    """Range maximum with its rightmost place, in constant time a query."""
+    """Range maximum with its rightmost place, in constant time a query, for ranges of at most ``longest`` values."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, longest: int):
         n = len(values)
-        best = values.astype(np.int64) * (n + 1) + np.arange(n)  # ties go to the right
+        best = values.astype(np.int32) * (n + 1) + np.arange(n, dtype=np.int32)  # ties go to the right
         self.n, self.rows = n, [best]
         step = 1
-        while 2 * step <= n:
+        while 2 * step <= min(n, longest):
             last = self.rows[-1]
             self.rows.append(np.maximum(last[: n - 2 * step + 1], last[step : n - step + 1]))
             step *= 2
@@ -50,41 +51,42 @@ class SparseTable:
         return divmod(int(max(self.rows[k][lo], self.rows[k][hi - (1 << k) + 1])), self.n + 1)
 
 
+#: Characters that one sparse table covers, at least.
+SLICE = 1 << 18
+
+
 def cuts(text: str, limit: int = 1000, overlap: int = 100, least: float = 0.5) -> list[tuple[int, int, int]]:
     """(start, end, forced) of the pieces of ``text``; forced: the end is no natural boundary.
 
     A piece is at most ``limit`` characters; its end is sought first beyond ``least`` of the limit. A cut is
-    forced only where more than ``limit`` characters lie between two neighbouring natural boundaries.
+    forced only where more than ``limit`` characters lie between two neighbouring natural boundaries. Pieces
+    overlap by ``overlap`` characters, or by fewer where more would force a cut, or would not move on.
     """
     n = len(text)
     if n <= limit:
         return [(0, n, 0)] if n else []
-    table = SparseTable(strengths(text))
-    out, start, end = [], 0, 0
-    while True:
-        if n - start <= limit:
-            out.append((start, n, 0))
-            return out
+    strong = strengths(text)
+    natural = np.append(np.flatnonzero(strong) + 1, n)  # ends at natural boundaries
+    out, start, end, base, table = [], 0, 0, 0, None
+    while n - start > limit:
         hi = start + limit - 1
+        if table is None or hi >= base + table.n:
+            base = start
+            table = SparseTable(strong[base : base + max(SLICE, 2 * limit)], limit)
         lo = max(end, start + int(limit * least))
-        value, at = table.query(lo, hi) if lo <= hi else (0, hi)
+        value, at = table.query(lo - base, hi - base) if lo <= hi else (0, 0)
         if not value and lo > end:
-            value, at = table.query(end, lo - 1)
-        if not value:
-            at = hi
+            value, at = table.query(end - base, lo - 1 - base)
+        at = at + base if value else hi
         out.append((start, at + 1, int(not value)))
         end = at + 1
-        start = end
-        if overlap:
-            lo = max(end - overlap, out[-1][0] + 1)
-            # a start lies on a natural boundary, or anywhere within the overlap after a forced cut
-            kind, at = table.query(lo - 1, end - 2) if end - 2 >= lo - 1 else (0, 0)
-            places = np.flatnonzero(table.rows[0][lo - 1 : end - 1] >= n + 1) + lo if kind else []
-            back = int(places[0]) if len(places) else (lo if not value else end)
-            reach, _ = table.query(end, min(n - 1, back + limit - 1))
-            ahead, _ = table.query(end, min(n - 1, end + limit - 1))
-            if reach or n - back <= limit or (not ahead and n - end > limit):
-                start = back
+        ahead = int(natural[np.searchsorted(natural, end, side="right")])  # the text goes on, so that there is one
+        back = end - overlap
+        if ahead - end <= limit:
+            back = max(back, ahead - limit)
+        start = max(back, start + 1)
+    out.append((start, n, 0))
+    return out
 
 
 _PIECES = "array<struct<start:int,end:int,forced:int>>"

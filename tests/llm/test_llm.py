@@ -23,6 +23,20 @@ def test_cuts_are_forced_only_where_needed():
         assert all(s < s2 <= e < e2 for (s, e, _), (s2, e2, _) in zip(got, got[1:]))
 
 
+def test_pieces_overlap_as_far_as_no_cut_is_forced(monkeypatch):
+    monkeypatch.setattr(splitting, "SLICE", 64)  # several tables
+    rng = random.Random(8)
+    for _ in range(300):
+        t = "".join("。" if rng.random() < 0.06 else "x" for _ in range(rng.randint(60, 900)))
+        limit, overlap = 50, 12
+        places = [i + 1 for i, v in enumerate(splitting.strengths(t)) if v] + [len(t)]
+        got = splitting.cuts(t, limit, overlap)
+        for (s, e, _), (s2, _, _) in zip(got, got[1:]):
+            if e - s2 != overlap:  # one step more would force a cut
+                ahead = min(p for p in places if p > e)
+                assert s2 == s + 1 or (0 <= e - s2 < overlap and ahead - s2 == limit)
+
+
 def test_pieces_of_odd_rows(spark):
     d = spark.createDataFrame([(1, None, 3, 2), (2, "", None, None), (3, "一二三。" * 700, 0, 5), (4, "x" * 2500, 9, 7)], "chunk_no long, content string, a int, b int")
     got = splitting.split_oversized(d, "chunk_no", "content", "a", "b").toPandas()
@@ -42,6 +56,24 @@ def test_consistent_form(spark):
     assert unify.consistent_form(d.limit(0), "chunk_no", "content").count() == 0
 
 
+def test_repairs_go_to_the_dominant_script(spark):
+    assert unify.suspects("Москвa и Пpивет") == [("Москвa", "Москва"), ("Пpивет", "Привет")]
+    assert unify.suspects("使用OТС和Ρlayοff") == [("OТС", "OTC"), ("Ρlayοff", "Playoff")]
+    assert unify.suspects("Привет ОТС") == [] and unify.suspects("Αθήνa") == []
+    d = spark.createDataFrame(list(enumerate(["г. Москвa", "г. Москва", "г. Mосква!", "Вoлга"])), "chunk_no int, content string")
+    form = {r.chunk_no: r.form for r in unify.consistent_form(d, "chunk_no", "content").collect()}
+    assert form == {0: "г. Москва", 1: "г. Москва", 2: "г. Москва!", 3: "Вoлга"}  # the last result is in no vocabulary
+
+
+def test_many_copies_of_two_spellings(spark, monkeypatch):
+    from leafmill.llm import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 10)
+    d = spark.createDataFrame([(i, "使用OTC" if i % 3 else "使用ОТС") for i in range(90)], "chunk_no long, content string")
+    got = [tuple(r) for r in unify.same_reading_pairs(d, "chunk_no", "content").collect()]
+    assert len(got) == len(set(got)) == 30 * 60 and all(a < b and (a % 3 == 0) != (b % 3 == 0) for a, b in got)
+
+
 def test_forms_are_one_over_all_tables(spark, tmp_path):
     from leafmill.llm.queries import p5_forms
 
@@ -165,6 +197,15 @@ def test_solver_is_tight():
     assert sum(m for m, _, _ in out) == 1000 and all((size[at] * n).sum() <= 100 for _, at, n in out)
 
 
+def test_the_program_fills_most_windows():
+    rng = np.random.RandomState(3)
+    size, count = np.unique(np.minimum(rng.geometric(1 / 60, 20_000), 199), return_counts=True)
+    taken, left = packing.program(size, count, 200)
+    assert all((used * size).sum() == 200 for _, used in taken) and (sum(m * used for m, used in taken) + left == count).all()
+    assert (left * size).sum() <= 0.11 * (count * size).sum()
+    assert sum(m for m, _, _ in packing.solve(size, count, 200)) <= 1.005 * (size * count).sum() / 200 + 1
+
+
 def test_subjects_held_out(spark):
     rng = random.Random(4)
     words = {"sport": ["马拉松赛道", "青训梯队", "goalkeeper"], "law": ["诉讼请求", "仲裁裁决", "injunction"], "energy": ["风电机组", "光伏组件", "substation"]}
