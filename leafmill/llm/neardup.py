@@ -1,8 +1,9 @@
 """Problem 2: near-duplicate records with small edits.
 
 Texts with equal forms are one class. Each class has a MinHash signature of its distinct n-character
-sequences; bands of the signature are shuffled by their hash; classes that share a band are candidates,
-thinned by their whole signatures and verified on the full sets.
+sequences, a byte a hash, and a band is a few of these bytes. Bands are shuffled by their value; the classes
+of a bucket that meet there are candidates if this is their first shared band, so that no pair comes twice,
+and if their whole signatures agree well enough. Candidates are verified on the full sets.
 """
 
 from __future__ import annotations
@@ -15,12 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS, written
+from .pairs import member_pairs
 from .unify import consistent_form
 
-#: Members of a band bucket that are joined as one block with another block.
-BLOCK = 2000
-#: Hashes of a signature that are kept, a byte each, to thin the candidates.
-SKETCH = 96
+#: Members of a bucket that meet as one block with another block.
+BLOCK = 1000
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def bands_for(similarity: float, recall: float = 0.99, background: float = 0.1,
     Costs are the hashes plus the chance candidates that ``background``-similar texts give.
     """
     best = None
-    for rows in range(1, 17):
+    for rows in range(1, 9):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
         if bands * rows > most:
             continue
@@ -74,79 +74,107 @@ def _similar(a: str, b: str, n: int) -> float:
     return shared / max(1, len(x) + len(y) - shared)
 
 
+def _meet(least: float):
+    """Candidates of the buckets of sorted rows: each pair in its first shared band, if its signatures agree in ``least`` of their bytes or more."""
+
+    def pairs_of(rows: pd.DataFrame):
+        band, place, own, ids = (rows[c].to_numpy() for c in ("band", "place", "block", "id"))
+        bands = np.stack(rows.bands.to_numpy())
+        marks, which = bands.view(np.uint8), (band >> 32).astype(np.int64)
+        for d in range(1, len(rows)):
+            at = np.flatnonzero((band[d:] == band[:-d]) & (place[d:] == place[:-d]))
+            if not len(at):
+                return
+            # of two blocks only members of different ones meet
+            at = at[(own[at] != own[at + d]) | (place[at] >> 32 == place[at] & 0xFFFFFFFF)]
+            for i in range(0, len(at), 20_000):
+                x = at[i : i + 20_000]
+                y = x + d
+                good = (bands[x] == bands[y]).argmax(1) == which[x]
+                x, y = x[good], y[good]
+                good = (marks[x] == marks[y]).mean(1) >= least
+                x, y = ids[x[good]], ids[y[good]]
+                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    def run(batches):
+        open_ = None
+        for pdf in batches:
+            rows = pdf if open_ is None else pd.concat([open_, pdf], ignore_index=True)
+            if not len(rows):
+                continue
+            # the last bucket may go on in the next batch
+            last = int(((rows.band == rows.band.iloc[-1]) & (rows.place == rows.place.iloc[-1])).to_numpy().argmax())
+            open_ = rows.iloc[last:].reset_index(drop=True)
+            yield from pairs_of(rows.iloc[:last])
+        if open_ is not None:
+            yield from pairs_of(open_)
+
+    return run
+
+
 def near_duplicates(texts: DataFrame, id_col: str, text_col: str, similarity: float = 0.6, n: int = 4, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the texts that share ``similarity`` of their distinct n-character sequences.
 
-    members: ``id_col``, ``class_id`` (the least id with the same text), one row for each non-null text.
-    links: ``class_a < class_b``, ``similarity`` of the different texts. Empty texts form a class without
-    links. No bucket is capped: a large one is joined in blocks of :data:`BLOCK` members.
+    members: ``id`` (a whole number, unique), ``class_id`` (the least id with the same text), one row for
+    each non-null text. links: ``class_a < class_b``, ``similarity`` of the different texts. Empty texts form
+    a class without links. No bucket is capped: the members of a large one meet in blocks of :data:`BLOCK`.
     """
     bands, rows = bands_for(similarity, recall)
     seeds = np.random.RandomState(7).randint(0, 1 << 31, bands * rows).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
-    @F.pandas_udf("bands array<int>, sketch binary")
-    def sign(s: pd.Series) -> pd.DataFrame:
+    width = 4 if rows <= 4 else 8  # bytes of a band
+
+    @F.pandas_udf("array<int>" if width == 4 else "array<long>")
+    def sign(s: pd.Series) -> pd.Series:
         sig = np.stack([_signature(ngram_hashes(t, n), seeds) for t in s]) if len(s) else np.zeros((0, len(seeds)), np.uint32)
-        part = sig.reshape(len(sig), bands, rows).astype(np.uint64)
-        key = np.zeros(part.shape[:2], np.uint64)
-        for r in range(rows):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + part[:, :, r] + np.uint64(1))
-        sketch = (sig[:, :SKETCH].astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(12)).astype(np.uint8)
-        return pd.DataFrame({"bands": list((key >> np.uint64(32)).astype(np.uint32).view(np.int32)), "sketch": [x.tobytes() for x in sketch]})
-
-    ok = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = written(ok.select("id", F.md5("text").alias("key")), "keys")
-    members = written(keyed.join(keyed.groupBy("key").agg(F.min("id").alias("class_id")), "key").select("id", "class_id"), "members")
+        marks = (sig.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(12)).astype(np.uint8).reshape(len(sig), bands, rows)
+        wide = np.zeros((len(sig), bands, width), np.uint8)
+        wide[:, :, :rows] = marks
+        return pd.Series(list(wide.reshape(len(sig), -1).view(np.int32 if width == 4 else np.int64)))
+
+    ok = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ok = written(ok.select("id", "text", F.md5("text").alias("key")), "texts")
+    members = written(ok.select("id", "key").join(ok.groupBy("key").agg(F.min("id").alias("class_id")), "key").select("id", "class_id"), "members")
     copies = members.where("id <> class_id").select("id")
-    one = ok.where("text <> ''").join(_small(copies), "id", "left_anti")
-    signed = written(one.select("id", sign("text").alias("s")).select("id", "s.bands", "s.sketch"), "signed")
+    one = ok.where("text <> ''").select("id", "text").join(_small(copies), "id", "left_anti")
+    signed = written(one.select("id", sign("text").alias("bands")), "signed")
 
-    placed = signed.select("id", F.posexplode("bands").alias("i", "h")).select("id", (F.col("i").cast("long") * (1 << 32) + F.col("h")).alias("band"))
+    value = F.col("h").cast("long") if width == 4 else F.xxhash64("h")
+    placed = signed.select("id", F.posexplode("bands").alias("i", "h")).select("id", (F.col("i").cast("long") * (1 << 32) + value.bitwiseAND(0xFFFFFFFF)).alias("band"))
     # members are counted with a map-side combine; only bands of two or more stay, and hash into their blocks
     several = placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    shared = placed.join(written(several, "bands"), "band")
-    shared = shared.select("id", "band", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), (F.col("blocks") - 1).alias("last"))
-    shared = written(shared, "buckets")
-    # block i meets blocks i..last: the left side goes to each of them, the right side only to its own
-    left = shared.select("band", F.col("id").alias("a"), F.explode(F.sequence("block", "last")).alias("block"))
-    right = shared.select("band", F.col("id").alias("b"), "block")
-    pairs = left.join(right, ["band", "block"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / min(SKETCH, bands * rows))  # four standard errors
-    chance = 1 / 256
-
-    @F.pandas_udf("boolean")
-    def likely(a: pd.Series, b: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
-        y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
-        return pd.Series(((x == y).mean(1) - chance) / (1 - chance) >= least)
-
-    sketch = signed.select("id", "sketch")
-    pairs = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").where(likely("sa", "sb")).select("a", "b")
-    pairs = written(pairs, "candidates")
+    shared = placed.join(written(several, "bands"), "band").join(signed, "id")
+    shared = shared.select("id", "band", "bands", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    place = (F.least("block", "other").cast("long") * (1 << 32) + F.greatest("block", "other")).alias("place")
+    shared = shared.select("band", place, "block", "id", "bands").repartition("band", "place").sortWithinPartitions("band", "place")
+    # padding bytes agree always, chance ones in one of 256
+    share = similarity - 4 * math.sqrt(similarity * (1 - similarity) / (bands * rows))  # four standard errors
+    least = ((share + (1 - share) / 256) * rows + width - rows) / width
+    pairs = written(shared.mapInPandas(_meet(least), "a long, b long"), "candidates")
 
     @F.pandas_udf("double")
     def verify(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_similar(x, y, n) for x, y in zip(a, b)], dtype=float)
 
-    text = ok.join(_small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
+    text = ok.select("id", "text").join(_small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
     links = pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b").select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), verify("ta", "tb").alias("similarity"))
     return members, written(links.where(F.col("similarity") >= similarity), "links")
 
 
+#: White space of any kind.
+WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def squashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id_col`` and ``form``: the consistent form without any white space."""
-    return consistent_form(df, id_col, text_col).select(id_col, F.regexp_replace("form", "(?U)\\s+", "").alias("form"))
+    return consistent_form(df, id_col, text_col).select(id_col, F.translate("form", WHITE, "").alias("form"))
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """Every pair of ids (a < b) of one class or of linked classes."""
-    m = members.select("class_id", "id")
-    big = m.groupBy("class_id").count().where("count > 1").select("class_id")
-    own = m.join(big, "class_id")
-    copies = own.select("class_id", F.col("id").alias("a")).join(own.select("class_id", F.col("id").alias("b")), "class_id").where("a < b").select("a", "b")
-    far = links.join(m.toDF("class_a", "x"), "class_a").join(m.toDF("class_b", "y"), "class_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return copies.unionByName(far)
+    several = members.where("id <> class_id").select("class_id").distinct()
+    both = links.select("class_a", "class_b").unionByName(several.select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b")))
+    return member_pairs(both, members)
 
 
 def groups(members: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:

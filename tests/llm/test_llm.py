@@ -112,6 +112,19 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert len(group) == 123 and all(group[a] == group[b] for a, b in got)
 
 
+def test_one_bucket_of_many_near_equal_texts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefghij") for _ in range(400))
+    texts = [base[:k] + "z" + base[k + 1 :] for k in range(300)] + [base] * 50
+    d = spark.createDataFrame(list(enumerate(texts)), "chunk_no long, form string")
+    members, links = neardup.near_duplicates(d, "chunk_no", "form", similarity=0.8)
+    got = [tuple(r) for r in links.select("class_a", "class_b").collect()]
+    assert len(got) == len(set(got)) == 301 * 300 // 2  # every pair once
+    assert neardup.all_pairs(members, links).count() == 350 * 349 // 2
+    assert {r.group_id for r in neardup.groups(members, links).collect()} == {0}
+
+
 def test_bands_reach_the_recall():
     for s in (0.5, 0.6, 0.8):
         bands, rows = neardup.bands_for(s)
