@@ -1,9 +1,10 @@
 """Problem 1: the most similar vectors of every vector.
 
-Equal directions are one class. Classes go to shards around centroids that are fitted on a bounded sample;
-a shard above its size is split by hash, so that no shard grows with the data. In each shard a directed
-graph is built: greedy searches propose neighbours, and relaxed distance pruning keeps diverse edges. Beam
-search then answers every query that is routed to the shard; the best answers of all shards are merged.
+Equal directions are one class. Classes go to shards around centroids that are fitted on a bounded sample; a
+shard above its size has centroids of its own, fitted and applied the same way, so that neither the shards
+nor the parts that a query visits grow with the data. In each shard a directed graph is built: greedy
+searches propose neighbours, and relaxed distance pruning keeps diverse edges. Beam search then answers every
+query that is routed to the shard; the best answers of all shards are merged.
 """
 
 from __future__ import annotations
@@ -14,12 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import BROADCAST_ROWS, written
 
-#: Rows at most that the centroids are fitted on; the index itself holds every row.
+#: Directions, as expected, that the centroids of a level are fitted on; the index itself holds every row.
 SAMPLE_ROWS = 40_000
-#: Centroids at most; a larger collection has more sub-shards.
+#: Centroids of a level at most.
 MOST_CENTROIDS = 4096
+#: Rows of a shard that are routed to its centroids together, and copies of a class that are joined together.
+ROUTE_ROWS, COPIES = 100_000, 10_000
+#: Shards of the second level that a query visits in each one of the first.
+SUB_PROBES = 2
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -165,6 +170,47 @@ def _matrix(s: pd.Series) -> np.ndarray:
     return np.stack(s.to_numpy()).astype(np.float32)
 
 
+def _nearest(x: np.ndarray, c: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` nearest centroids of each vector, the nearest first."""
+    near = -(x @ c.T)
+    at = np.argpartition(near, count - 1, axis=1)[:, :count] if count < len(c) else np.broadcast_to(np.arange(len(c)), near.shape)
+    return np.take_along_axis(at, np.take_along_axis(near, at, 1).argsort(1, kind="stable"), 1).astype(np.int32)
+
+
+def _subdivided(base: DataFrame, seek: DataFrame, sizes: dict[int, int], shard_rows: int, visits: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of oversized shards (``shard``, ``rep``, ``vec``) with ``sub``, by centroids of each shard of its own."""
+    spark = base.sparkSession
+    big = [(s, n, -(-n // ROUTE_ROWS)) for s, n in sizes.items() if n > 2 * shard_rows]
+    if not big:
+        return base.withColumn("sub", F.lit(0)), seek.withColumn("sub", F.lit(0))
+    big = F.broadcast(spark.createDataFrame(big, "shard int, n long, salts int"))  # MOST_CENTROIDS rows at most
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE_ROWS)) / F.col("n"))
+    drawn = base.join(big, "shard").where(F.pmod(F.xxhash64("vec", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20)).select("shard", "n", "vec")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = centroids_of(_matrix(pdf.vec), int(max(1, min(MOST_CENTROIDS, pdf.n.iloc[0] // shard_rows))))
+        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "no": np.arange(len(c)), "centre": [v.tolist() for v in c]})
+
+    centres = written(drawn.groupBy("shard").applyInPandas(fit, "shard int, no int, centre array<float>"), "centres")
+    spread = centres.join(big, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "no", "centre")
+
+    def routed(rows: DataFrame, count: int | None) -> DataFrame:
+        def run(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows) or not len(centres):
+                return pd.DataFrame({"shard": [], "sub": [], "rep": [], "vec": []})
+            c = _matrix(centres.sort_values("no").centre)
+            at = _nearest(_matrix(rows.vec), c, len(c) if count is None else min(count, len(c)))
+            k = at.shape[1]
+            return pd.DataFrame({"shard": np.repeat(rows["shard"].to_numpy(), k), "sub": at.ravel(), "rep": np.repeat(rows.rep.to_numpy(), k), "vec": np.repeat(rows.vec.to_numpy(), k)})
+
+        salt = F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt")
+        over = rows.join(big, "shard").select("shard", salt, "rep", "vec")
+        over = over.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(run, "shard int, sub int, rep long, vec array<float>")
+        return rows.join(big, "shard", "left_anti").select("shard", F.lit(0).alias("sub"), "rep", "vec").unionByName(over)
+
+    return routed(base, 1), routed(seek, None if visits is None else SUB_PROBES)
+
+
 def similar_vectors(
     vectors: DataFrame, k: int = 10, least: float = -1.0, probes: int | None = 3, queries: DataFrame | None = None,
     degree: int = 16, width: int = 24, alpha: float = 1.2, shard_rows: int = 2000, query_rows: int = 20_000,
@@ -176,54 +222,57 @@ def similar_vectors(
     Ties go to the smaller id. No vectors give an empty result.
     """
     spark = vectors.sparkSession
-    vectors = written(vectors.select("vector_id", "vec"), "vectors")
-    key = F.xxhash64("vec")
-    classes = vectors.select("vector_id", "vec", key.alias("h")).groupBy("h", "vec").agg(F.min("vector_id").alias("rep"), F.count("*").alias("copies"))
-    classes = written(classes.select("rep", "vec", "copies"), "classes")
-    n = classes.count()
-    share = min(1.0, 1.2 * SAMPLE_ROWS / max(1, n))
-    sample = classes.select("vec").sample(fraction=share, seed=1).limit(SAMPLE_ROWS).toPandas() if share < 1 else classes.select("vec").toPandas()
+    vectors = written(vectors.select("vector_id", "vec", F.xxhash64("vec").alias("h")), "vectors")
+    n = vectors.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    # a direction is drawn with all its copies, wherever they lie
+    drawn = vectors.where(F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(1 << 20)) < min(1.0, SAMPLE_ROWS / max(1, n)) * (1 << 20))
+    sample = drawn.groupBy("h").agg(F.min("vec").alias("vec")).orderBy("h").select("vec").toPandas()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, vector_id long, cosine double")
     cent = centroids_of(_matrix(sample.vec), max(1, min(MOST_CENTROIDS, n // shard_rows)))
     visits = len(cent) if probes is None else min(probes, len(cent))
-    wanted = None
-    asked = classes.select("rep", "vec")
-    if queries is not None:
-        wanted = queries.select(F.col("vector_id").cast("long").alias("vector_id")).distinct()
-        at = vectors.join(wanted, "vector_id").select(F.xxhash64("vec").alias("h"), "vec").distinct()
-        asked = classes.select("rep", "vec", F.xxhash64("vec").alias("h")).join(at.select("h").distinct(), "h").select("rep", "vec")
     shared_cent = spark.sparkContext.broadcast(cent)
 
-    def route(count):
-        def run(batches):
-            c = shared_cent.value
-            for pdf in batches:
-                if len(pdf):
-                    near = -(_matrix(pdf.vec) @ c.T)
-                    at = np.argpartition(near, count - 1, axis=1)[:, :count] if count < len(c) else np.broadcast_to(np.arange(len(c)), near.shape)
-                    yield pd.DataFrame({"rep": np.repeat(pdf.rep.to_numpy(), count), "shard": at.ravel().astype(np.int32), "vec": np.repeat(pdf.vec.to_numpy(), count)})
-
-        return run
-
-    schema = "rep long, shard int, vec array<float>"
-    base = classes.select("rep", "vec").mapInPandas(route(1), schema)
-    seek = asked.mapInPandas(route(visits), schema)
-    # a table of one row a shard, of MOST_CENTROIDS rows at most
-    sizes = base.groupBy("shard").count().withColumnRenamed("count", "base").join(seek.groupBy("shard").count().withColumnRenamed("count", "asked"), "shard")
-    plan = {r.shard: (-(-r.base // (2 * shard_rows)), -(-r.asked // query_rows)) for r in sizes.collect()}
-    parts = F.broadcast(spark.createDataFrame([(s, int(a), int(b)) for s, (a, b) in plan.items()], "shard int, subs int, blocks int"))
+    def route(batches):
+        for pdf in batches:
+            if len(pdf):
+                pdf["shards"] = list(_nearest(_matrix(pdf.vec), shared_cent.value, visits))
+            else:
+                pdf["shards"] = []
+            yield pdf
+
+    classes = vectors.groupBy("h", "vec").agg(F.min("vector_id").alias("rep"), F.count("*").alias("copies"))
+    classes = classes.select("rep", "copies", "h", "vec").mapInPandas(route, "rep long, copies long, h long, vec array<float>, shards array<int>")
+    classes = written(classes, "classes")
+    wanted, asked = None, classes
+    if queries is not None:
+        wanted = queries.select(F.col("vector_id").cast("long").alias("vector_id")).distinct()
+        asked = classes.join(vectors.join(wanted, "vector_id").select("h").distinct(), "h", "left_semi")
+    base = classes.select(F.col("shards")[0].alias("shard"), "rep", "vec")
+    seek = asked.select(F.explode("shards").alias("shard"), "rep", "vec")
+    sizes = {r["shard"]: r["count"] for r in classes.groupBy(F.col("shards")[0].alias("shard")).count().collect()}  # MOST_CENTROIDS rows at most
+    base, seek = _subdivided(base, seek, sizes, shard_rows, probes)
+    if any(m > 2 * shard_rows for m in sizes.values()):
+        base, seek = written(base, "base"), written(seek, "seek")
+    # a row a part; parts that are still large are split by hash, and their queries in blocks
+    many = seek.groupBy("shard", "sub").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("blocks"))
+    parts = base.groupBy("shard", "sub").agg(F.ceil(F.count("*") / (4 * shard_rows)).cast("int").alias("subs")).join(many, ["shard", "sub"])
+    parts = written(parts, "shards")
+    number, tasks = parts.agg(F.count("*"), F.sum(F.col("subs") * F.col("blocks"))).first()
+    parts = F.broadcast(parts) if number <= BROADCAST_ROWS else parts
     salt = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
-    base = base.join(parts, "shard").select("shard", (salt % F.col("subs")).cast("int").alias("sub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "rep", "vec")
-    seek = seek.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), (salt % F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "rep", "vec")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    base = base.join(parts, ["shard", "sub"]).select("shard", "sub", (salt % F.col("subs")).cast("int").alias("part"), every("blocks").alias("block"), F.lit(0).alias("role"), "rep", "vec")
+    seek = seek.join(parts, ["shard", "sub"]).select("shard", "sub", every("subs").alias("part"), (salt % F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "rep", "vec")
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf.role == 0].sort_values("rep")
         q = pdf[pdf.role == 1]
-        x, ids = _matrix(own.vec), own.rep.to_numpy()
-        edges, starts = build_graph(x, degree, max(width, degree), alpha)
         out = []
-        for i in range(0, len(q), 1024):
+        if len(own) and len(q):
+            x, ids = _matrix(own.vec), own.rep.to_numpy()
+            edges, starts = build_graph(x, degree, max(width, degree), alpha)
+        for i in range(0, len(q) if len(own) else 0, 1024):
             part = q.iloc[i : i + 1024]
             at, sim = beam_search(x, edges, starts, _matrix(part.vec), max(width, k + 1))
             who = part.rep.to_numpy()
@@ -233,25 +282,34 @@ def similar_vectors(
             out.append(pd.DataFrame({"q": who[line], "near": ids[at[line, col]], "cosine": sim[line, col].astype(float)}))
         return pd.concat(out) if out else pd.DataFrame({"q": np.zeros(0, np.int64), "near": np.zeros(0, np.int64), "cosine": np.zeros(0)})
 
-    hits = base.unionByName(seek).groupBy("shard", "sub", "block").applyInPandas(answer, "q long, near long, cosine double")
+    keys = ["shard", "sub", "part", "block"]
+    spread = base.unionByName(seek).repartition(max(1, tasks or 0), *keys)  # about a graph a task, however many there are
+    hits = spread.groupBy(*keys).applyInPandas(answer, "q long, near long, cosine double")
     best = W.partitionBy("q").orderBy(F.desc("cosine"), "near")
     hits = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("q", "near", "cosine")
     hits = written(hits, "hits")
 
-    # members of the classes that have copies; of each only the first k + 1 can be among the k most similar
-    several = classes.where("copies > 1").select("rep", F.xxhash64("vec").alias("h"), "vec")
-    owned = vectors.select("vector_id", "vec", key.alias("h")).join(several, ["h", "vec"]).select("rep", "vector_id")
-    owned = written(owned, "owned")
+    # members of the classes that have copies; classes of very many copies meet their rows by a broadcast
+    several = classes.where("copies > 1").select("rep", "h", "vec", F.ceil(F.col("copies") / COPIES).cast("int").alias("blocks"))
+    hot = several.where("blocks > 1")
+    rare = several.where("blocks = 1") if hot.count() <= BROADCAST_ROWS else several
+    mine = lambda c: vectors.join(c, ["h", "vec"]).select("rep", "vector_id", "blocks")
+    owned = written(mine(rare) if rare is several else mine(rare).unionByName(mine(F.broadcast(hot))), "owned")
+    # of a class only the first k + 1 can be among the k most similar
     first = owned.select("rep", "vector_id", F.row_number().over(W.partitionBy("rep").orderBy("vector_id")).alias("r")).where(F.col("r") <= k + 1).select("rep", "vector_id")
-    single = classes.where("copies = 1").select("rep", F.col("rep").alias("vector_id"))
-    asked_ids = owned.unionByName(single)
-    if wanted is not None:
-        asked_ids = asked_ids.join(wanted, "vector_id", "left_semi").select("rep", "vector_id")
     near = hits.join(first.toDF("near", "other"), "near", "left").select("q", F.coalesce("other", "near").alias("other"), "cosine")
     near = near.unionByName(first.select(F.col("rep").alias("q"), F.col("vector_id").alias("other"), F.lit(1.0).alias("cosine")))
-    full = asked_ids.toDF("q", "query_id").join(near, "q").where("query_id <> other")
-    best = W.partitionBy("query_id").orderBy(F.desc("cosine"), "other")
-    return full.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("query_id", F.col("other").alias("vector_id"), "cosine")
+    best = W.partitionBy("q").orderBy(F.desc("cosine"), "other")
+    near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+    lists = near.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "other", "cosine"))).alias("near"))  # k + 1 of a class
+    lists = lists.join(several.select(F.col("rep").alias("q"), "blocks"), "q", "left").select("q", "near", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
+    single = classes.where("copies = 1").select("rep", F.col("rep").alias("vector_id"), F.lit(1).alias("blocks"))
+    ids = owned.unionByName(single)
+    if wanted is not None:
+        ids = ids.join(wanted, "vector_id", "left_semi")
+    ids = ids.select(F.col("rep").alias("q"), F.col("vector_id").alias("query_id"), F.pmod(F.xxhash64("vector_id"), F.col("blocks")).cast("int").alias("block"))
+    others = F.slice(F.filter("near", lambda x: x["other"] != F.col("query_id")), 1, k)
+    return ids.join(lists, ["q", "block"]).select("query_id", F.explode(others).alias("x")).select("query_id", F.col("x.other").alias("vector_id"), F.col("x.cosine").alias("cosine"))
 
 
 def similar_pairs(found: DataFrame, least: float) -> DataFrame:

@@ -150,6 +150,25 @@ def test_similar_vectors_recall(spark):
     assert similar.similar_vectors(d.limit(0)).count() == 0
 
 
+def test_oversized_shards_have_centroids_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(similar, "MOST_CENTROIDS", 3)
+    monkeypatch.setattr(similar, "ROUTE_ROWS", 150)
+    monkeypatch.setattr(similar, "COPIES", 7)
+    rng = np.random.RandomState(2)
+    middle = rng.randn(40, 16)
+    x = (middle[rng.randint(0, 40, 1200)] + 0.15 * rng.randn(1200, 16)).astype(np.float32)
+    x[:60] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame(pd.DataFrame({"vector_id": range(1200), "vec": [v.tolist() for v in x]}), "vector_id long, vec array<float>")
+    got = similar.similar_vectors(d, k=5, shard_rows=60).toPandas()
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    want = np.argsort(-s, 1, kind="stable")[:, :5]
+    found = got.groupby("query_id").vector_id.apply(set)
+    assert np.mean([len(found[i] & set(want[i])) / 5 for i in range(60, 1200)]) >= 0.9
+    assert (got.groupby("query_id").size() == 5).all() and found[59] == set(range(5))
+
+
 def test_unusable_vectors(spark):
     ok = [1.0] * 64
     cache = spark.createDataFrame([(1, "a", ok), (2, "a", None), (3, "b", ok[:5]), (4, "c", [0.0] * 64), (5, "d", [float("nan")] * 64), (6, "e", None), (7, "e", ok), (8, None, ok)], "seq long, chunk_id string, embedding array<float>")
