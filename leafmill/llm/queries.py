@@ -94,7 +94,7 @@ def _shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _shares(spark, d).where("sentences >= 0.25 * of").select("doc_id", "subject_code")
+    return p8_subjects(spark, d).where("posterior >= 0.5").select("doc_id", "subject_code")
 
 
 def p8_subjects(spark: SparkSession, d: str) -> DataFrame:

@@ -3,9 +3,10 @@
 Sentences are bags of hashed character and word sequences. Complement naive Bayes is trained from labelled
 documents, then refined by expectation-maximization over the sentences of all documents: a sentence's
 posterior comes from its own sequences and its document's mix, and the sequences are counted again. Only
-sequences that point to one subject are evidence, so that a sentence of office routine has none. A
-document's subjects are those of enough of its sentences; their posteriors are calibrated subject by
-subject, independently, on the labelled documents.
+sequences that point to one subject are evidence, so that a sentence of office routine has none. A sentence
+without evidence goes on about the one before if it holds a sequence that such sentences often have but that
+never opens a document, where nothing comes before. A document's subjects are those of enough of its
+sentences; their posteriors are calibrated subject by subject, independently, on the labelled documents.
 """
 
 from __future__ import annotations
@@ -27,13 +28,10 @@ BUCKETS = 1 << 18
 #: Characters that a task looks at together.
 SLICE = 400_000
 
-# Words by which a sentence goes on about the one before.
-GOES_ON = [
-    "该项工作", "上述事项", "前述内容", "这一安排", "该部分", "相关方案", "同类事项", "该批次", "后续环节", "这项任务",
-    "该事项", "此项工作", "上述工作", "上述内容", "上述安排", "前述事项", "前述安排", "这项工作", "这一工作", "该任务",
-    "above item", "said matter", "same work", "plan just", "related step", "latter point", "next stage",
-    "said item", "above matter", "same matter", "same item", "said work", "former point",
-]
+#: Parts of a sentence that counts are kept in, as whole numbers, so that sums don't depend on their order.
+PARTS = 1 << 12
+#: A sequence goes on if chance would have it open so many documents, and it opens this share of them at most.
+OPENINGS, OPENED = 5.0, 0.02
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -114,28 +112,18 @@ def sentences_of(texts: list[str | None]) -> Sentences:
     return Sentences(np.concatenate(buckets), np.concatenate(ats), doc, counted)
 
 
-def _cues() -> np.ndarray:
-    """Buckets of the sequences that show that a sentence goes on about the one before."""
-    found = set()
-    for phrase in GOES_ON:
-        s = sentences_of([phrase[:3] if not phrase.isascii() else phrase])
-        found.add(int(s.bucket[-1]))
-    table = np.zeros(BUCKETS, bool)
-    table[sorted(found)] = True
-    return table
-
-
 @dataclass
 class Model:
-    """``index``: a bucket's row in ``weights`` (complement naive Bayes, one column a subject), or -1."""
+    """``index``: a bucket's row in ``weights`` (complement naive Bayes, one column a subject), or -1; ``goes_on``: buckets by which a sentence goes on."""
 
     subjects: list[str]
     prior: np.ndarray
     index: np.ndarray
     weights: np.ndarray
+    goes_on: np.ndarray
 
     @staticmethod
-    def fit(subjects: list[str], totals: np.ndarray, buckets: np.ndarray, counts: np.ndarray, clear: float = 0.4, smooth: float = 0.05) -> Model:
+    def fit(subjects: list[str], totals: np.ndarray, buckets: np.ndarray, counts: np.ndarray, goes_on: np.ndarray, clear: float = 0.4, smooth: float = 0.05) -> Model:
         prior = np.maximum(totals / max(1e-9, totals.sum()), 1e-4)
         n = counts.sum(1)
         share = counts / np.maximum(n, 1e-9)[:, None]
@@ -149,7 +137,7 @@ class Model:
         index[buckets] = np.arange(len(buckets), dtype=np.int32)
         own = (counts + smooth) / (totals + smooth * BUCKETS ** 0.5)
         rest = (n[:, None] - counts + smooth) / (totals.sum() - totals + smooth * BUCKETS ** 0.5)
-        return Model(subjects, prior, index, np.clip(np.log(own) - np.log(rest), -6, 6).astype(np.float32))
+        return Model(subjects, prior, index, np.clip(np.log(own) - np.log(rest), -6, 6).astype(np.float32), goes_on)
 
 
 def _score(model: Model, s: Sentences) -> tuple[np.ndarray, np.ndarray]:
@@ -189,14 +177,22 @@ def posteriors(model: Model, s: Sentences, labels: np.ndarray | None, docs: int)
     return post, np.where(s.counted, np.where(evident, 1.0, known[s.doc]), 0.0)
 
 
-def decide(model: Model, s: Sentences, cues: np.ndarray, docs: int) -> np.ndarray:
+def _opens(s: Sentences) -> np.ndarray:
+    """Whether a sentence is the first counted one of its document."""
+    at = np.flatnonzero(s.counted)
+    first = np.zeros(len(s.doc), bool)
+    first[at[np.unique(s.doc[at], return_index=True)[1]]] = True
+    return first
+
+
+def decide(model: Model, s: Sentences, docs: int) -> np.ndarray:
     """The subject of each sentence, or -1; a sentence that goes on has that of the one before."""
     score, evident = _score(model, s)
     mix = _mix(model, s, _softmax(score + np.log(model.prior)), evident, docs)
     post = _softmax(score + np.log(mix[s.doc] / mix.sum(1)[s.doc][:, None]))
     own = np.where(evident & (score.max(1) > 2.0), post.argmax(1), -1)
     goes_on = np.zeros(len(s.doc), bool)
-    goes_on[s.at[cues[s.bucket]]] = True
+    goes_on[s.at[model.goes_on[s.bucket]]] = True
     fixed = np.flatnonzero(s.counted & ~(goes_on & (own < 0)))
     out = np.full(len(s.doc), -1)
     out[fixed] = own[fixed]
@@ -227,10 +223,11 @@ def _one_hot(labels: pd.Series, subjects: list[str]) -> np.ndarray:
 def _learn(docs: DataFrame, subjects: list[str], model: Model | None, clear: float = 0.4) -> Model:
     """One round: expected counts of every sequence under ``model`` (or the labels alone), then a new model."""
     spark, k = docs.sparkSession, len(subjects)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)  # of a size bounded by BUCKETS and the subjects
+    wide = k + 2  # a column a subject, then sentences without evidence, and those of them that open a document
 
     def count(batches):
-        sums = np.zeros(BUCKETS * k, np.float32)
+        sums = np.zeros(BUCKETS * wide, np.int64)
         for pdf in batches:
             for part in _slices(pdf):
                 s = sentences_of(part.text.tolist())
@@ -240,32 +237,53 @@ def _learn(docs: DataFrame, subjects: list[str], model: Model | None, clear: flo
                     weight = s.counted & (labels[s.doc].sum(1) > 0)
                 else:
                     post, weight = posteriors(shared.value, s, labels, len(part))
-                top = np.argsort(-post, axis=1)[:, :3]
+                    none = s.counted & ~(np.bincount(s.at, shared.value.index[s.bucket] >= 0, minlength=len(s.doc)) > 0)
+                    for column, which in ((k, none), (k + 1, none & _opens(s))):
+                        np.add.at(sums, s.bucket[which[s.at]].astype(np.int64) * wide + column, 1)
+                top = np.argsort(-post, axis=1, kind="stable")[:, :3]
                 value = np.take_along_axis(post, top, 1)
-                value = value / np.maximum(value.sum(1, keepdims=True), 1e-9) * weight[:, None]
+                value = np.rint(value / np.maximum(value.sum(1, keepdims=True), 1e-9) * weight[:, None] * PARTS).astype(np.int64)
                 for j in range(top.shape[1]):
                     w = value[:, j][s.at]
-                    keep = np.flatnonzero(w > 0.01)
-                    key = s.bucket[keep].astype(np.int64) * k + top[:, j][s.at[keep]]
-                    np.add.at(sums, key, w[keep].astype(np.float32))
-        key = np.flatnonzero(sums > 0)
+                    keep = np.flatnonzero(w > PARTS // 100)
+                    np.add.at(sums, s.bucket[keep].astype(np.int64) * wide + top[:, j][s.at[keep]], w[keep])
+        key = np.flatnonzero(sums)
         yield pd.DataFrame({"key": key.astype(np.int32), "n": sums[key]})
 
-    raw = docs.mapInPandas(count, "key int, n float").groupBy("key").agg(F.sum("n").alias("n"))
+    raw = docs.mapInPandas(count, "key int, n long").groupBy("key").agg(F.sum("n").alias("n"))
     raw = written(raw, "counts")
-    totals = np.zeros(k)
-    for r in raw.groupBy((F.col("key") % k).alias("c")).agg(F.sum("n").alias("n")).collect():  # a row a subject
-        totals[r.c] = r.n
-    # BUCKETS rows at most: those seen often enough to point anywhere
-    rows = raw.groupBy(F.floor(F.col("key") / k).cast("int").alias("b")).agg(*[F.sum(F.when(F.col("key") % k == c, F.col("n")).otherwise(0.0)).alias(f"c{c}") for c in range(k)], F.sum("n").alias("n")).where("n >= 6")
-    pdf = rows.where(F.greatest(*[F.col(f"c{c}") for c in range(k)]) >= 0.2 * F.col("n")).drop("n").toPandas()
-    return Model.fit(subjects, totals, pdf.b.to_numpy(), pdf[[f"c{c}" for c in range(k)]].to_numpy(float), clear)
+    sums = np.zeros(wide)
+    for r in raw.groupBy((F.col("key") % wide).alias("c")).agg(F.sum("n").alias("n")).collect():  # a row a column
+        sums[r.c] = r.n
+    of = lambda c: F.sum(F.when(F.col("key") % wide == c, F.col("n")).otherwise(0))
+    rows = raw.groupBy(F.floor(F.col("key") / wide).cast("int").alias("b")).agg(*[of(c).alias(f"c{c}") for c in range(wide)])
+    # BUCKETS rows at most: those seen often enough to point anywhere, and those that go on
+    names = [f"c{c}" for c in range(k)]
+    n = sum((F.col(c) for c in names), F.lit(0))
+    chance = F.col(f"c{k}") * (sums[k + 1] / max(1.0, sums[k]))
+    rows = rows.select("b", *names, ((chance >= OPENINGS) & (F.col(f"c{k + 1}") <= OPENED * chance)).alias("on"), ((n >= 6 * PARTS) & (F.greatest(*[F.col(c) for c in names], F.lit(0)) >= 0.2 * n)).alias("points"))
+    pdf = rows.where("on or points").orderBy("b").toPandas()
+    goes_on = np.zeros(BUCKETS, bool)
+    goes_on[pdf.b[pdf.on.astype(bool)]] = True
+    pdf = pdf[pdf.points.astype(bool)]
+    return Model.fit(subjects, sums[:k] / PARTS, pdf.b.to_numpy(), pdf[names].to_numpy(float) / PARTS, goes_on, clear)
+
+
+#: Subjects at most; more raise an error.
+MOST_SUBJECTS = 1000
+
+
+def _codes(labels: DataFrame) -> list[str]:
+    codes = [r.subject_code for r in labels.select("subject_code").distinct().orderBy("subject_code").limit(MOST_SUBJECTS + 1).collect()]
+    if len(codes) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
+    return codes
 
 
 def train_subjects(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> Model | None:
     """Complement naive Bayes from the labelled documents, refined over all documents; None without any label."""
     named = labels.where("subject_code is not null").select(F.col(id_col).alias("id"), "subject_code").distinct()
-    subjects = [r.subject_code for r in named.groupBy("subject_code").count().orderBy("subject_code").limit(1000).collect()]
+    subjects = _codes(named)
     if not subjects:
         return None
     own = named.groupBy("id").agg(F.collect_set("subject_code").alias("labels")).orderBy(F.xxhash64("id")).limit(LABELLED_ROWS)
@@ -281,16 +299,16 @@ def train_subjects(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
 
 def subject_shares(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``subject_code``, ``sentences`` about it, ``of`` all its sentences: one row a document and subject found in it."""
-    shared = documents.sparkSession.sparkContext.broadcast((model, _cues()))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model, cues = shared.value
+        model = shared.value
         k = len(model.subjects)
         names = np.array(model.subjects, dtype=object)
         for pdf in batches:
             for part in _slices(pdf):
                 s = sentences_of(part.text.tolist())
-                subject = decide(model, s, cues, len(part))
+                subject = decide(model, s, len(part))
                 of = np.bincount(s.doc[s.counted], minlength=len(part))
                 has = np.flatnonzero(subject >= 0)
                 n = np.bincount(s.doc[has].astype(np.int64) * k + subject[has], minlength=len(part) * k)
@@ -302,24 +320,39 @@ def subject_shares(documents: DataFrame, model: Model, id_col: str = "doc_id", t
 
 
 def calibrated(shares: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``shares`` with ``posterior``: for each subject by itself, a logistic curve of the share, fitted on labelled documents."""
+    """``shares`` with ``share`` and ``posterior``: for each subject by itself, a logistic curve of the share, fitted on labelled documents.
+
+    Some labels are wrong: the curve runs between the rate of labels at a share of 0 and that at a share of
+    half or more, over all subjects, and the posterior is the curve without these rates. The subjects' own
+    curves are held to the one of all subjects as far as few labels speak for another one.
+    """
     spark = shares.sparkSession
     own = labels.where("subject_code is not null").select(id_col, "subject_code", F.lit(1.0).alias("y")).distinct()
     ids = own.select(id_col).distinct().orderBy(F.xxhash64(id_col)).limit(LABELLED_ROWS)
-    codes = [r.subject_code for r in own.select("subject_code").distinct().orderBy("subject_code").limit(1000).collect()]  # the fixed subjects
+    codes = _codes(own)
     seen = ids.select(id_col, F.explode(F.array(*[F.lit(c) for c in codes]) if codes else F.array().cast("array<string>")).alias("subject_code"))
     fit = seen.join(shares, [id_col, "subject_code"], "left").join(own, [id_col, "subject_code"], "left")
-    fit = fit.select("subject_code", F.coalesce(F.col("sentences") / F.col("of"), F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
-
-    def curve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.ones(len(pdf)), pdf.x.to_numpy()], 1)
-        y, b = pdf.y.to_numpy(), np.zeros(2)
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-x @ b))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
-            b = b + np.linalg.solve(h, x.T @ (y - p) - 0.05 * b)
-        return pd.DataFrame({"subject_code": [pdf.subject_code.iloc[0]], "b0": [b[0]], "b1": [b[1]]})
-
-    lines = F.broadcast(fit.groupBy("subject_code").applyInPandas(curve, "subject_code string, b0 double, b1 double"))
+    x = F.round(F.coalesce(F.col("sentences") / F.col("of"), F.lit(0.0)), 2).alias("x")
+    # 101 rows a subject at most
+    pdf = fit.select("subject_code", x, F.coalesce("y", F.lit(0.0)).alias("y")).groupBy("subject_code", "x").agg(F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("subject_code", "x").toPandas()
+    low, high = (float((pdf.y[at].sum() + 0.5) / (pdf.n[at].sum() + 1)) if len(pdf) else 0.0 for at in (pdf.x == 0, pdf.x >= 0.5))
+    low, high = min(low, 0.2), max(high, 0.6)
+    start = _curve(pdf, low, high, np.array([-5.0, 20.0]), np.array([0.01, 0.001]))
+    lines = [(c, *map(float, _curve(part, low, high, start, np.array([4.0, 0.05])))) for c, part in pdf.groupby("subject_code")]
+    lines = F.broadcast(spark.createDataFrame(lines, "subject_code string, b0 double, b1 double"))  # a row a subject
     share = F.col("sentences") / F.col("of")
     return shares.join(lines, "subject_code").select(id_col, "subject_code", "sentences", "of", share.alias("share"), (1 / (1 + F.exp(-F.col("b0") - F.col("b1") * share))).alias("posterior"))
+
+
+def _curve(pdf: pd.DataFrame, low: float, high: float, start: np.ndarray, hold: np.ndarray) -> np.ndarray:
+    """(b0, b1) of the likeliest curve low + (high - low) / (1 + exp(-b0 - b1 x)), held to ``start``; by damped scoring."""
+    x = np.stack([np.ones(len(pdf)), pdf.x.to_numpy(float)], 1)
+    y, n, b = pdf.y.to_numpy(float), pdf.n.to_numpy(float), start.copy()
+    for _ in range(100):
+        s = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        p = low + (high - low) * s
+        slope = (high - low) * s * (1 - s)
+        step = x.T @ (slope * (y - n * p) / np.maximum(p * (1 - p), 1e-9)) - hold * (b - start)
+        spread = (x * (n * slope * slope / np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + np.diag(hold)
+        b = b + np.clip(np.linalg.solve(spread, step), -2, 2) * 0.5
+    return b

@@ -244,21 +244,29 @@ def test_subjects_held_out(spark):
     rows, truth, labels = [], {}, []
     for i in range(900):
         s = rng.choice(list(words))
-        text = "".join(f"本年度{rng.choice(words[s])}已完成改造，编号为{rng.randint(1, 99)}。" if rng.random() < 0.8 else "该项工作进展顺利。" for _ in range(6)) + "值班表已更新，不存在争议。"
-        rows.append((i, text if i % 50 else None))
+        text = [f"本年度{rng.choice(words[s])}已完成改造，编号为{rng.randint(1, 99)}。" if k == 0 or rng.random() < 0.7 else "该项工作进展顺利。" for k in range(6)]
+        text.insert(rng.choice([0, 6]), "值班表已更新，不存在争议。")  # only routine can open a text besides the subjects
+        rows.append((i, "".join(text) if i % 50 else None))
         truth[i] = s
         if i % 3 == 0:
             labels.append((i, s if rng.random() < 0.9 else rng.choice(list(words)), "a"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     lab = spark.createDataFrame(labels, "doc_id long, subject_code string, labeller string")
     model = subjects.train_subjects(docs, lab)
+    assert {int(b) for b in subjects.sentences_of(["该项工作进展"]).bucket} & set(np.flatnonzero(model.goes_on))
+    assert not {int(b) for b in subjects.sentences_of(["值班表"]).bucket} & set(np.flatnonzero(model.goes_on))
     shares = subjects.subject_shares(docs, model)
+    of = {r.doc_id: r.n for r in shares.groupBy("doc_id").agg({"sentences": "sum"}).toDF("doc_id", "n").collect()}
+    assert sum(of[i] == 6 for i in of) >= 0.95 * len(of)  # all but the routine
     got = {r.doc_id: r.subject_code for r in shares.where("sentences >= 0.5 * of").collect()}
     held = [i for i in range(900) if i % 3 and i % 50]
     assert sum(got.get(i) == truth[i] for i in held) >= 0.95 * len(held)
     cal = subjects.calibrated(shares, lab).toPandas()
     assert cal.posterior.between(0, 1).all() and cal[cal.share > 0.6].posterior.mean() > 0.7
+    again = subjects.train_subjects(docs.repartition(7), lab)  # the order of the rows changes nothing
+    assert (again.weights == model.weights).all() and (again.index == model.index).all()
     assert subjects.train_subjects(docs, lab.limit(0)) is None
+    assert subjects.calibrated(shares, lab.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("name", ["p1_found", "p3_found"])
