@@ -57,23 +57,22 @@ def absorbable(candidate_kind, candidate_text, same_section, page_gap):
     return near & (((candidate_kind == "title") & T.is_short_title(candidate_text)) | ((candidate_kind == "text") & T.is_unit_note(candidate_text)))
 
 
-def build_chunks(blocks: DataFrame, limit: int = 1000) -> DataFrame:
+def build_chunks(blocks: DataFrame, limit: int = 1000, docs: DataFrame | None = None) -> DataFrame:
     """Chunks of each report in order: ``report_no``, ``chunk_seq``, ``chunk_type``, ``chunk_id``, ``content``, ``page_start``, ``page_end``, ``n_blocks``.
 
     Titles end a text; a change of section ends it; a table takes up to two blocks before it as context,
-    titles always and a unit note while it has not been emitted; tables that run on are one chunk. A text
-    longer than ``limit`` is split, each part with the pages of the blocks it overlaps. Blank chunks are left
-    out. Windows run within a report.
+    titles always and a unit note while it has not been emitted, and a block of another kind counts as one; tables that run on are one chunk. A text
+    longer than ``limit`` is split, each part with the pages of the blocks it overlaps. Blank texts are left out,
+    blank tables stay. ``docs`` (``report_no``, ``stock_code``, ``company_name``, ``year``) names the chunks;
+    without it, or for a report it lacks, the first block of each chunk does. Windows run within a report.
     """
     order = W.partitionBy("report_no").orderBy("block_no")
     heads = table_runs(blocks).select("report_no", "block_no", "head", "run")
-    b = blocks.where("kind in ('title', 'text', 'table')").join(heads, ["report_no", "block_no"], "left")
-
-    def at(name, k):
-        return F.lag(name, k).over(order) if k > 0 else F.lead(name, -k).over(order)
-
-    cols = [at(c, k).alias(f"{c}_{'b' if k > 0 else 'a'}{abs(k)}") for c in ("kind", "content", "section", "page", "head") for k in (1, 2, -1, -2)]
-    b = b.select("*", *cols)
+    known = ["title", "text", "table"]  # blocks of other kinds only stand between
+    b = blocks.join(heads, ["report_no", "block_no"], "left")
+    b = b.select("*", *[F.lead(c, k).over(order).alias(f"{c}_a{k}") for c in ("kind", "section", "page", "head") for k in (1, 2)])
+    before = F.last(F.when(F.col("kind").isin(known), F.struct("kind", "section")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    b = b.withColumn("before", before)
     is_head = F.coalesce(F.col("head") == 1, F.lit(False))
 
     def absorbs(k):  # the table k blocks ahead takes this block
@@ -81,12 +80,13 @@ def build_chunks(blocks: DataFrame, limit: int = 1000) -> DataFrame:
         ahead = (F.col(f"kind_a{k}") == "table") & (F.col(f"head_a{k}") == 1)
         if k == 1:
             return F.coalesce(ahead & fits, F.lit(False))
-        pending = (F.col("kind") == "title") | ((F.col("kind_a1") == "text") & (F.col("section_a1") == F.col("section")))
+        pending = (F.col("kind") == "title") | ((F.col("kind_a1") == "text") & (F.col("section_a1") == F.col("section"))) | ~F.col("kind_a1").isin(known)
         return F.coalesce(ahead & fits & pending, F.lit(False))
 
     b = b.withColumn("to1", absorbs(1)).withColumn("to2", absorbs(2))
     b = b.withColumn("taken", (F.col("kind") == "text") & (F.col("to1") | F.col("to2")))
-    starts = is_head | ((F.col("kind") == "text") & ((F.coalesce(F.col("kind_b1"), F.lit("")) != "text") | (F.col("section") != F.coalesce(F.col("section_b1"), F.lit("\x00")))))
+    after_text = F.coalesce((F.col("before.kind") == "text") & (F.col("before.section") == F.col("section")), F.lit(False))
+    starts = is_head | ((F.col("kind") == "text") & ~after_text)
     b = b.withColumn("island", F.sum(F.coalesce(starts, F.lit(False)).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     # the island of a head one or two blocks ahead, for its context
     nxt = b.select("*", F.lead("island", 1).over(order).alias("i1"), F.lead("island", 2).over(order).alias("i2"))
@@ -110,7 +110,11 @@ def build_chunks(blocks: DataFrame, limit: int = 1000) -> DataFrame:
         "report_no", "island", "part_no", F.when(F.col("k") == "table", "table").otherwise("text").alias("chunk_type"), T.normalize_text(F.col("part.text")).alias("content"),
         F.coalesce(F.array_min(pages), F.lit(0)).alias("page_start"), F.coalesce(F.array_max(pages), F.lit(0)).alias("page_end"), F.size("of").cast("long").alias("n_blocks"),
         first["stock_code"].alias("code"), first["company_name"].alias("company"), first["year"].alias("year"),
-    ).where("content <> ''")
+    ).where("content <> '' or chunk_type = 'table'")
+    if docs is not None:
+        named = docs.groupBy("report_no").agg(*[F.max(F.coalesce(k, F.lit(""))).alias(f"doc_{k}") for k in ("stock_code", "company_name", "year")], F.lit(True).alias("named"))
+        pick = lambda a, b: F.when(F.col("named"), F.col(a)).otherwise(F.col(b)).alias(b)
+        c = c.join(named, "report_no", "left").select(*[x for x in c.columns if x not in ("code", "company", "year")], pick("doc_stock_code", "code"), pick("doc_company_name", "company"), pick("doc_year", "year"))
     seq = F.row_number().over(W.partitionBy("report_no").orderBy("island", "part_no"))
     return c.withColumn("chunk_seq", seq.cast("long")).select("report_no", "chunk_seq", "chunk_type", chunk_id("code", "company", "year", "chunk_seq").alias("chunk_id"), "content", "page_start", "page_end", "n_blocks")
 

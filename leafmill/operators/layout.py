@@ -14,7 +14,7 @@ from ..functions import text as T
 PAGE = ["doc_id", "page"]
 # Default font size, tolerances of centres, gaps of lines and blocks, margins.
 FONT, CELL_TOLERANCE, LINE_TOLERANCE, LINE_GAP, MERGE_GAP, ROUND = 10.5, 1.5, 2.0, 4.0, 8.0, 3.0
-COLLECT_MARGIN, DROP_MARGIN = 80.0, 55.0
+COLLECT_MARGIN, DROP_MARGIN, TOC_PAGES = 80.0, 55.0, 12
 
 
 def area(x0, y0, x1, y1):
@@ -75,7 +75,7 @@ def table_markdown(cells: DataFrame, words: DataFrame, tables: DataFrame | None
 
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("n")), " | "), F.lit(" |"))
     lines = F.transform("rows", line)
-    t = t.select(*PAGE, "table_no", F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 100_000)), "\n").alias("markdown"))
+    t = t.select(*PAGE, "table_no", F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))), "\n").alias("markdown"))
     if tables is None:
         return t
     table = [*PAGE, "table_no"]
@@ -86,10 +86,21 @@ def table_markdown(cells: DataFrame, words: DataFrame, tables: DataFrame | None
     return t.unionByName(plain)
 
 
+def toc_runs(pages: DataFrame, key: str = "doc_id", last: int = TOC_PAGES) -> DataFrame:
+    """(key, ``first_page``, ``last_page``) of the first unbroken run of contents pages after the cover, of ``page`` 2 to ``last``.
+
+    pages: key, ``page`` from 1 and ``text``; a page without a row breaks a run.
+    """
+    p = pages.where((F.col("page") >= 2) & (F.col("page") <= last)).where(T.toc_marks(F.col("text"))[2]).select(key, "page").distinct()
+    run = F.col("page") - F.row_number().over(W.partitionBy(key).orderBy("page"))
+    p = p.withColumn("run", run).withColumn("first", F.min("run").over(W.partitionBy(key))).where("run = first")
+    return p.groupBy(key).agg(F.min("page").cast("long").alias("first_page"), F.max("page").cast("long").alias("last_page"))
+
+
 def repeated_marginals(blocks: DataFrame, pages: DataFrame, least: int = 3) -> DataFrame:
     """(doc_id, key) of short texts wholly in the margins of a document's pages, ``least`` times or more."""
     b = blocks.join(pages.select(*PAGE, "height"), PAGE).where((F.col("y1") <= COLLECT_MARGIN) | (F.col("y0") >= F.col("height") - COLLECT_MARGIN))
-    b = b.select("doc_id", T.compact_text(F.col("text")).alias("key")).where((F.length("key") >= 1) & (F.length("key") <= 60) & ~F.col("key").rlike(T.PAGE_NUMBER))
+    b = b.select("doc_id", T.compact_text(F.col("text")).alias("key")).where((F.length("key") >= 1) & (F.length("key") <= 60) & ~T.is_page_number(F.col("key")))
     return b.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -112,7 +123,7 @@ def block_styles(spans: DataFrame, tables: DataFrame) -> DataFrame:
 def classified(blocks: DataFrame, medians: DataFrame, pages: DataFrame, marginals: DataFrame) -> DataFrame:
     """Text blocks as titles with their level, or text; page numbers and repeated marginal texts are dropped."""
     b = blocks.where("text <> ''").withColumn("key", T.compact_text(F.col("text"))).join(medians, PAGE)
-    b = b.join(marginals.select("doc_id", "key"), ["doc_id", "key"], "left_anti").where(~F.col("key").rlike(T.PAGE_NUMBER))
+    b = b.join(marginals.select("doc_id", "key"), ["doc_id", "key"], "left_anti").where(~T.is_page_number(F.col("key")))
     flat, n = F.regexp_replace("text", r"\s+", " "), F.length("text")
     level, bold = T.title_level(flat), F.col("bold") / F.greatest(F.col("spans"), F.lit(1))
     closed = flat.rlike(T.END_MARKS)

@@ -234,12 +234,16 @@ def _decimals(v: re.Match) -> int:
     return len(v["num"].partition(".")[2]) if v["num"] else 0
 
 
+#: Metrics at most; more raise an error.
+MOST_METRICS = 10_000
 _RAW = "metric int, number string, unit string, decimals int, style int"
 
 
 def stated_values(chunks: DataFrame, metrics: DataFrame, id_col: str = "chunk_no", text_col: str = "content") -> DataFrame:
     """``id_col``, ``metric_code``, ``dimension``, ``number`` (as stated), ``unit`` or null, ``decimals``, ``style`` (1: named in English): one row a stated value."""
-    rows = [tuple(r) for r in metrics.select("metric_code", "metric_name", "metric_name_en", "dimension").orderBy("metric_code").limit(10_000).collect()]
+    rows = [tuple(r) for r in metrics.select("metric_code", "metric_name", "metric_name_en", "dimension").orderBy("metric_code").limit(MOST_METRICS + 1).collect()]
+    if len(rows) > MOST_METRICS:
+        raise ValueError(f"more than {MOST_METRICS} metrics")
     spark = chunks.sparkSession
     shared = spark.sparkContext.broadcast([(a or "", b or "", d or "") for _, a, b, d in rows])
 

@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from .functions.text import LEVELS, NUMERAL, PAGE_NUMBER, UNIT_NOTE, WS
 from .plans.request import BOUNDS
 
+# The rules' patterns, written for this engine, where \s, \S and \d of Unicode are classes.
+WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+INK = r"[^\s\x1c-\x1f\x{85}\p{Z}]"
+LEVELS = [
+    rf"^第[一二三四五六七八九十百\p{{Nd}}]+节{WS}*{INK}+",
+    rf"^[一二三四五六七八九十]+[、.．]{WS}*{INK}+",
+    rf"^[（(][一二三四五六七八九十]+[）)]{WS}*{INK}+",
+    rf"^\p{{Nd}}+[、.．]{WS}*{INK}+",
+    rf"^[（(]\p{{Nd}}+[）)]{WS}*{INK}+",
+]
+PAGE_NUMBER = rf"^(第)?\p{{Nd}}+(页)?(/\p{{Nd}}+)?$"  # of texts without white space
+CODE = rf"(?:股票|证券|A股){WS}*(?:代码|简称)?{WS}*[:：]?{WS}*([03668]\p{{Nd}}{{5}})"
+UNIT_NOTES = ["单位[:：]", "币种[:：]", "金额单位", "货币单位", "人民币", f"元{WS}*$", f"万元{WS}*$", f"千元{WS}*$"]
+
 
 def strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
@@ -26,8 +39,9 @@ def safe(x: str) -> str:
 
 def company(x: str) -> str:
     stem = f"regexp_replace({x}, '\\.[^.]*$', '')"
-    lazy = f"regexp_replace(regexp_extract({stem}, '^(.*?)(20\\d{{2}}|年报|年度报告)', 1), '^[_ -]+|[_ -]+$', '', 'g')"
-    return f"CASE WHEN contains({stem}, '：') THEN {strip(f'split_part({stem}, chr(65306), 1)')} WHEN contains({stem}, ':') THEN {strip(f'split_part({stem}, chr(58), 1)')} WHEN {lazy} <> '' THEN {lazy} ELSE {stem} END"
+    before = "^(.+?)(20\\p{Nd}{2}|年报|年度报告)"
+    lazy = f"regexp_replace(regexp_extract({stem}, '{before}', 1), '^[_ -]+|[_ -]+$', '', 'g')"
+    return f"CASE WHEN contains({stem}, '：') THEN {strip(f'split_part({stem}, chr(65306), 1)')} WHEN contains({stem}, ':') THEN {strip(f'split_part({stem}, chr(58), 1)')} WHEN regexp_matches({stem}, '{before}') THEN {lazy} ELSE {stem} END"
 
 
 def level(x: str) -> str:
@@ -35,7 +49,8 @@ def level(x: str) -> str:
 
 
 def unit(x: str) -> str:
-    return f"(length({norm(x)}) <= 120 AND regexp_matches({norm(x)}, '{UNIT_NOTE}'))"
+    any_of = " OR ".join(f"regexp_matches({norm(x)}, '{p}')" for p in UNIT_NOTES)
+    return f"(length({norm(x)}) <= 120 AND ({any_of}))"
 
 
 def short(x: str) -> str:
@@ -43,9 +58,25 @@ def short(x: str) -> str:
     return f"({t} <> '' AND length({t}) <= 60 AND NOT contains({t}, '适用') AND NOT regexp_matches({t}, '[。；;，,]$') AND NOT (contains({t}, chr(10)) AND length({t}) > 35))"
 
 
+def lines(x: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({norm(x)}, '[\\n\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda li: {strip('li')}), lambda li: li <> '')"
+
+
 def columns(x: str) -> str:
-    line = f"regexp_extract(chr(10) || coalesce({x}, ''), '\\n[ \\t]*(\\|[^\\n]*)', 1)"
-    return f"CASE WHEN {line} = '' THEN 0 ELSE len(string_split(regexp_replace({line}, '^\\|+|\\|+[ \\t]*$', '', 'g'), '|')) END"
+    row = f"list_filter({lines(x)}, lambda li: starts_with(li, '|'))[1]"
+    return f"coalesce(len(string_split(regexp_replace({row}, '^\\|+|\\|+$', '', 'g'), '|')), 0)"
+
+
+def split_long(x: str, limit: int = 1000) -> str:
+    """Parts of a text: at blank lines, sentence ends and line ends, packed greedily, then by length."""
+    parts = f"[{norm(x)}]"
+    for n, end in enumerate(("\\n\\n", "[。；;]", "\\n")):
+        t = f"t{n}"
+        pieces = f"string_split(regexp_replace({t}, '({end})', '\\1' || chr(1), 'g'), chr(1))"
+        packed = f"list_reduce(list_transform({pieces}, lambda p{n}: [p{n}]), lambda a{n}, x{n}: CASE WHEN length(a{n}[-1]) + length(x{n}[1]) <= {limit} THEN list_append(a{n}[1:len(a{n}) - 1], a{n}[-1] || x{n}[1]) ELSE list_append(a{n}, x{n}[1]) END)"
+        parts = f"flatten(list_transform({parts}, lambda {t}: CASE WHEN length({t}) <= {limit} THEN [{t}] ELSE list_filter(list_transform({packed}, lambda y{n}: {strip(f'y{n}')}), lambda y{n}: y{n} <> '') END))"
+    sliced = f"flatten(list_transform({parts}, lambda t9: list_transform(range(0, greatest(length(t9), 1), {limit}), lambda i9: {strip(f'substr(t9, i9 + 1, {limit})')})))"
+    return f"list_filter({sliced}, lambda y9: y9 <> '')"
 
 
 def pages(a: str, b: str) -> str:
@@ -59,7 +90,7 @@ def grams(x: str) -> str:
 
 
 def years(x: str) -> str:
-    ends = "(20\\d{2})年?\\s*(?:到|至|~|～|-|—|－)\\s*(20\\d{2})"
+    ends = f"(20\\p{{Nd}}{{2}}){WS}*年?{WS}*(?:到|至|~|～|-|—|－){WS}*(20\\p{{Nd}}{{2}}){WS}*年?"
     a, b = f"regexp_extract({x}, '{ends}', 1)", f"regexp_extract({x}, '{ends}', 2)"
     lo, hi = f"try_cast(least({a}, {b}) AS INT)", f"try_cast(greatest({a}, {b}) AS INT)"
     return f"CASE WHEN {a} <> '' AND {hi} - {lo} <= 10 THEN list_transform(range({lo}, {hi} + 1), lambda y: y::VARCHAR) ELSE list_sort(list_distinct(regexp_extract_all({x}, '20\\d{{2}}'))) END"
@@ -76,6 +107,10 @@ B = """b AS (SELECT report_no, k::BIGINT AS block_no, coalesce(blocks[k].content
   coalesce(blocks[k].meta.page, 0)::BIGINT AS page, coalesce(blocks[k].meta.section, '') AS section, coalesce(blocks[k].meta.stock_code, '') AS stock_code,
   coalesce(blocks[k].meta.company_name, '') AS company_name, coalesce(blocks[k].meta.year, '') AS year
   FROM (SELECT report_no, blocks, unnest(range(1, len(blocks) + 1)) AS k FROM parsed))"""
+TOC = f"""{B}, pg AS (SELECT report_no, page, string_agg(content, chr(10) ORDER BY block_no) AS text FROM b GROUP BY 1, 2),
+l AS (SELECT report_no, page, {norm('text')} AS text, {lines('text')} AS lines FROM pg),
+n0 AS (SELECT *, len(list_filter(lines, lambda x: regexp_matches(x, '第[一二三四五六七八九十百\\p{{Nd}}]+节'))) AS sections, len(list_filter(lines, lambda x: regexp_matches(x, '\\.{{2,}}|…{{2,}}|·{{2,}}|{WS}{{3,}}\\p{{Nd}}+{WS}*$'))) AS dotted FROM l),
+toc AS (SELECT report_no, page, sections, dotted, (contains(substr(text, 1, 200), '目录') AND (sections >= 2 OR dotted >= 3)) OR (sections >= 4 AND dotted >= 2) AS toc FROM n0)"""
 CUR = """cur AS (SELECT chunk_id, seq, embedding AS e FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY seq DESC) r FROM embedding_cache WHERE chunk_id IS NOT NULL AND chunk_id <> '') WHERE r = 1),
 good AS (SELECT chunk_id, list_transform(e, lambda v: v::DOUBLE) AS v FROM cur WHERE len(e) = 64 AND len(list_filter(e, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(e, lambda v: v <> 0)) > 0),
 unit AS (SELECT chunk_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS vec FROM good)"""
@@ -90,7 +125,7 @@ SETTINGS = "st AS (SELECT question_id, " + ", ".join(f"greatest({a}, least({c},
 FILTERS = ITEMS + f""",
 {SETTINGS},
 q AS (SELECT question_id, coalesce(question, '') AS question, stock_code AS qcode, year AS qyear, years AS qyears FROM questions),
-names AS (SELECT company_name, arg_max(stock_code, vector_id) AS code, min(vector_id) AS seen FROM items WHERE company_name <> '' AND stock_code <> '' AND length(company_name) >= 2 GROUP BY 1),
+names AS (SELECT company_name, arg_max(stock_code, vector_id) AS code, min(vector_id) AS seen FROM (SELECT vector_id, {strip("coalesce(company_name, '')")} AS company_name, {strip("coalesce(stock_code, '')")} AS stock_code FROM items) WHERE company_name <> '' AND stock_code <> '' GROUP BY 1),
 hit AS (SELECT question_id, code, company_name FROM (SELECT question_id, code, company_name, row_number() OVER (PARTITION BY question_id ORDER BY length(company_name) DESC, seen) r FROM q JOIN names ON contains(question, company_name)) WHERE r = 1),
 inf AS (SELECT q.*, regexp_extract(question, '(^|[^\\p{{L}}\\p{{N}}_])([0368]\\d{{5}})($|[^\\p{{L}}\\p{{N}}_])', 2) AS own, hit.code AS hcode, hit.company_name AS hname, {years('question')} AS named FROM q LEFT JOIN hit USING (question_id)),
 pre AS (SELECT question_id, coalesce(nullif({strip('qcode')}, ''), nullif(own, ''), hcode) AS code, nullif({strip('qyear')}, '') AS oy, named,
@@ -127,6 +162,31 @@ cx AS (SELECT question_id, vector_id, chunk_id, rerank_rank, rerank_score, text,
 
 
 
+def _chunks() -> str:
+    fits = lambda k: f"k{k} = 'table' AND h{k} AND section = s{k} AND abs(p{k} - page) <= 1 AND t <> '' AND ((kind = 'title' AND sh) OR (kind = 'text' AND un))"
+    return f"""WITH {B}, c0 AS (SELECT *, {columns('content')} AS cols, {norm('content')} AS t, {short('content')} AS sh, {unit('content')} AS un FROM b),
+    c1 AS (SELECT *, coalesce(kind = 'table' AND NOT coalesce(lag(kind) OVER w = 'table' AND lag(section) OVER w = section AND page = lag(page) OVER w + 1 AND lag(cols) OVER w = cols AND cols > 0, false), false) AS head,
+      last_value(CASE WHEN kind IN ('title', 'text', 'table') THEN kind END IGNORE NULLS) OVER v AS bk, last_value(CASE WHEN kind IN ('title', 'text', 'table') THEN section END IGNORE NULLS) OVER v AS bs
+      FROM c0 WINDOW w AS (PARTITION BY report_no ORDER BY block_no), v AS (PARTITION BY report_no ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    c2 AS (SELECT *, {', '.join(f'lead({c}, {k}) OVER w AS {n}{k}' for k in (1, 2) for c, n in (('kind', 'k'), ('section', 's'), ('page', 'p'), ('head', 'h')))}, sum(CASE WHEN head OR (kind = 'text' AND NOT coalesce(bk = 'text' AND bs = section, false)) THEN 1 ELSE 0 END) OVER (PARTITION BY report_no ORDER BY block_no) AS island FROM c1 WINDOW w AS (PARTITION BY report_no ORDER BY block_no)),
+    c3 AS (SELECT *, lead(island, 1) OVER w AS i1, lead(island, 2) OVER w AS i2, coalesce({fits(1)}, false) AS to1,
+      coalesce({fits(2)} AND (kind = 'title' OR (k1 = 'text' AND s1 = section) OR k1 NOT IN ('title', 'text', 'table')), false) AS to2 FROM c2 WINDOW w AS (PARTITION BY report_no ORDER BY block_no)),
+    it AS (SELECT report_no, island, kind, block_no, t, page FROM c3 WHERE kind = 'table' OR (kind = 'text' AND NOT to1 AND NOT to2)
+      UNION ALL SELECT report_no, i1, 'table', block_no, t, page FROM c3 WHERE to1 UNION ALL SELECT report_no, i2, 'table', block_no, t, page FROM c3 WHERE to2),
+    ta AS (SELECT *, CASE WHEN t <> '' THEN (sum(CASE WHEN t <> '' THEN length(t) + 2 ELSE 0 END) OVER (PARTITION BY report_no, island ORDER BY block_no))::BIGINT - 2 END AS e FROM it),
+    g AS (SELECT report_no, island, max(kind) AS kind, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY block_no) FILTER (t <> ''), '') AS body FROM it GROUP BY 1, 2),
+    ps AS (SELECT report_no, island, kind, body, CASE WHEN kind = 'text' THEN {split_long('body')} ELSE [{norm('body')}] END AS parts FROM g),
+    lo AS (SELECT report_no, island, kind, list_reduce(list_prepend([{{'t': '', 's': 0::BIGINT, 'e': 0::BIGINT}}], list_transform(parts, lambda p: [{{'t': p, 's': 0::BIGINT, 'e': 0::BIGINT}}])),
+      lambda a, x: list_append(a, {{'t': x[1].t, 's': a[-1].e + greatest(position(x[1].t IN substr(body, a[-1].e + 1)) - 1, 0), 'e': a[-1].e + greatest(position(x[1].t IN substr(body, a[-1].e + 1)) - 1, 0) + length(x[1].t)}}))[2:] AS ps FROM ps),
+    pp AS (SELECT report_no, island, kind, unnest(range(1, len(ps) + 1)) AS no, unnest(ps) AS p FROM lo),
+    ov AS (SELECT pp.report_no, pp.island, no, ta.page, kind_of.kind = 'text' AND e IS NOT NULL AND e - length(t) < p.e AND e > p.s AS hit, kind_of.kind AS k FROM pp JOIN ta USING (report_no, island) JOIN (SELECT report_no, island, kind FROM g) kind_of USING (report_no, island)),
+    h AS (SELECT *, max(hit::INT) OVER (PARTITION BY report_no, island, no) AS hits FROM ov),
+    pg AS (SELECT report_no, island, no, coalesce(min(nullif(page, 0)), 0) AS page_start, coalesce(max(nullif(page, 0)), 0) AS page_end, count(*) AS n_blocks FROM h WHERE hit OR hits = 0 GROUP BY 1, 2, 3),
+    z AS (SELECT report_no, row_number() OVER (PARTITION BY report_no ORDER BY island, no) AS chunk_seq, pp.kind AS chunk_type, {norm('p.t')} AS content, page_start, page_end, n_blocks FROM pp JOIN pg USING (report_no, island, no) WHERE p.t <> '' OR pp.kind = 'table')
+    SELECT report_no, chunk_seq, chunk_type, format('{{}}_{{}}_{{:06d}}', coalesce(nullif(doc_meta.stock_code, ''), {safe('doc_meta.company_name')}), coalesce(nullif(doc_meta.year, ''), 'unknown'), chunk_seq) AS chunk_id,
+      content, page_start::BIGINT AS page_start, page_end::BIGINT AS page_end, n_blocks FROM z JOIN parsed USING (report_no)"""
+
+
 def _paths() -> str:
     lv = ", ".join(f"max(CASE WHEN lvl = {k} THEN block_no END) OVER w AS p{k}" for k in range(1, 7))
     keep = []
@@ -146,15 +206,15 @@ ORACLES: dict[str, str] = {
     "safe_filename": f"SELECT report_no, {safe('doc_meta.filename')} AS name FROM parsed",
     "company_from_filename": f"""SELECT report_no, {company("coalesce(doc_meta.filename, '')")} AS company FROM parsed""",
     "doc_meta_fallback": f"""WITH p AS (SELECT report_no, {company("coalesce(doc_meta.filename, '')")} AS company_name, coalesce(doc_meta.filename, '') AS fn,
-        coalesce(array_to_string(list_transform(blocks[1:3], lambda b: coalesce(b.content, '')), chr(10)), '') AS probe FROM parsed), k AS (SELECT company_name, max(stock_code) AS known FROM companies GROUP BY 1)
+        coalesce(array_to_string(list_transform(list_filter(blocks, lambda b: coalesce(b.meta.page, 0) <= 3), lambda b: coalesce(b.content, '')), chr(10)), '') AS probe FROM parsed), k AS (SELECT company_name, max(stock_code) AS known FROM companies GROUP BY 1)
         SELECT report_no, p.company_name, coalesce(nullif(regexp_extract(fn, '20\\d{{2}}'), ''), regexp_extract(probe, '20\\d{{2}}')) AS year,
-        coalesce(nullif(regexp_extract(probe, '(股票|证券|A股)(代码|简称)?[:：]?[ \\t\\n]*([0368]\\d{{5}})', 3), ''), known, '') AS stock_code FROM p LEFT JOIN k USING (company_name)""",
+        coalesce(nullif(regexp_extract(probe, '{CODE}', 1), ''), known, '') AS stock_code FROM p LEFT JOIN k USING (company_name)""",
     "output_name": f"""SELECT coalesce(nullif(doc_meta.stock_code, ''), 'unknown') || '_' || coalesce(nullif(doc_meta.year, ''), 'unknown') || '_' || {safe('doc_meta.company_name')} || '.json' AS name,
         max(report_no) AS report_no, count(*) AS reports FROM parsed GROUP BY 1""",
-    "toc_like": f"""WITH {B}, p AS (SELECT report_no, page, string_agg(content, chr(10) ORDER BY block_no) AS text FROM b GROUP BY 1, 2),
-        l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: {strip('x')} <> '') AS lines FROM p),
-        n AS (SELECT *, len(list_filter(lines, lambda x: regexp_matches(x, '第[{NUMERAL}百\\d]+节'))) AS sections, len(list_filter(lines, lambda x: regexp_matches(x, '(\\.{{3,}}|…{{2,}}|·{{3,}})[ \\t]*\\d*'))) AS dotted FROM l)
-        SELECT report_no, page, sections::BIGINT AS sections, dotted::BIGINT AS dotted, ((contains(substr(text, 1, 200), '目录') AND (sections >= 2 OR dotted >= 3)) OR (sections >= 4 AND dotted >= 2))::BIGINT AS toc FROM n""",
+    "toc_like": f"WITH {TOC} SELECT report_no, page, sections::BIGINT AS sections, dotted::BIGINT AS dotted, toc::BIGINT AS toc FROM toc",
+    "toc_detected": f"""WITH {TOC}, p AS (SELECT report_no, page FROM toc WHERE toc AND page BETWEEN 2 AND 12), f AS (SELECT report_no, min(page) AS first_page FROM p GROUP BY 1),
+        n AS (SELECT f.report_no, first_page, x.page AS after FROM f JOIN (SELECT report_no, page + 1 AS page FROM p WHERE (report_no, page + 1) NOT IN (SELECT report_no, page FROM p)) x ON x.report_no = f.report_no AND x.page > first_page)
+        SELECT report_no, first_page::BIGINT AS first_page, (min(after) - 1)::BIGINT AS last_page FROM n GROUP BY 1, 2""",
     "toc_pages": """WITH p AS (SELECT DISTINCT report_no, page FROM (SELECT report_no, unnest(doc_meta.skipped_pages.toc) AS page FROM parsed) WHERE page IS NOT NULL),
         r AS (SELECT *, page - row_number() OVER (PARTITION BY report_no ORDER BY page) AS run FROM p), g AS (SELECT *, min(run) OVER (PARTITION BY report_no) AS first FROM r)
         SELECT report_no, min(page)::BIGINT AS first_page, max(page)::BIGINT AS last_page, count(*) AS pages FROM g WHERE run = first GROUP BY 1""",
@@ -168,6 +228,8 @@ ORACLES: dict[str, str] = {
         SELECT report_no, block_no, (section = ns AND abs(np - page) <= 1 AND {norm('content')} <> '' AND ((kind = 'title' AND {short('content')}) OR (kind = 'text' AND {unit('content')})))::BIGINT AS absorbable FROM n WHERE nk = 'table' AND kind <> 'table'""",
     "md_columns": f"SELECT chunk_no, ({columns('content')})::BIGINT AS columns FROM all_chunks",
     "table_runs": f"WITH {TABLES} SELECT report_no, block_no, columns::BIGINT AS columns, head::BIGINT AS head, run::BIGINT AS run FROM runs",
+    "doc_chunks": _chunks(),
+    "split_long_text": f"SELECT chunk_no, unnest(range(0, len(parts)))::BIGINT AS k, unnest(list_transform(parts, lambda z: length(z)))::BIGINT AS n FROM (SELECT chunk_no, {split_long('content')} AS parts FROM all_chunks)",
     "chunk_pages": f"WITH {B} SELECT report_no, section, coalesce(min(nullif(page, 0)), 0)::BIGINT AS page_start, coalesce(max(nullif(page, 0)), 0)::BIGINT AS page_end FROM b GROUP BY 1, 2",
     "chunk_ids": f"""SELECT chunk_no, format('{{}}_{{}}_{{:06d}}', coalesce(nullif(meta.stock_code, ''), {safe('meta.company_name')}), coalesce(nullif(meta.year, ''), 'unknown'), row_number() OVER (PARTITION BY coalesce(meta.filename, '') ORDER BY chunk_no)) AS chunk_id FROM all_chunks""",
     "buffer_ranges": f"""WITH {B}, t AS (SELECT report_no, block_no, length({norm('content')}) AS n FROM b WHERE kind = 'text' AND {norm('content')} <> ''),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import chunking as C
 from .operators import index as I
+from .operators import layout as L
 from .operators import quantities
 from .operators import retrieval as R
 from .oracles import ORACLES  # noqa: F401
@@ -53,7 +54,7 @@ def doc_meta_fallback(spark, d):
     name = F.coalesce("doc_meta.filename", F.lit(""))
     first = F.filter("blocks", lambda b: F.coalesce(b["meta"]["page"], F.lit(0)) <= 3)  # a block without a page may be on the first ones
     probe = F.array_join(F.transform(first, lambda b: F.coalesce(b["content"], F.lit(""))), "\n")
-    code = F.regexp_extract(probe, r"(股票|证券|A股)(代码|简称)?[:：]?[ \t\n]*([0368]\d{5})", 3)
+    code = F.regexp_extract(probe, T.unicode_pattern(T.STOCK_CODE), 1)
     rows = p.select(
         "report_no", F.coalesce(F.nullif(F.regexp_extract(name, T.YEAR, 0), F.lit("")), F.regexp_extract(F.coalesce(probe, F.lit("")), T.YEAR, 0)).alias("year"),
         F.nullif(code, F.lit("")).alias("code"), T.company_from_filename(name).alias("company_name"),
@@ -77,13 +78,15 @@ def _pages(spark, d):
 
 def toc_like(spark, d):
     """Pages that look like a table of contents."""
-    lines = F.filter(F.split("text", "\n", -1), lambda x: T.strip(x) != "")
-    sec = F.size(F.filter(lines, lambda x: x.rlike(rf"第[{T.NUMERAL}百\d]+节")))
-    dots = F.size(F.filter(lines, lambda x: x.rlike(r"(\.{3,}|…{2,}|·{3,})[ \t]*\d*")))
-    toc = (F.substring("text", 1, 200).contains("目录") & ((sec >= 2) | (dots >= 3))) | ((sec >= 4) & (dots >= 2))
+    sec, dots, toc = T.toc_marks(F.col("text"))
     return _pages(spark, d).select("report_no", "page", sec.cast("long").alias("sections"), dots.cast("long").alias("dotted"), toc.cast("long").alias("toc"))
 
 
+def toc_detected(spark, d):
+    """The first unbroken run of pages 2 to 12 that look like a table of contents, of each report that has one."""
+    return L.toc_runs(_pages(spark, d), "report_no")
+
+
 def toc_pages(spark, d):
     """The first unbroken run of skipped contents pages of each report."""
     p = table(spark, d, "parsed").select("report_no", F.explode("doc_meta.skipped_pages.toc").alias("page")).where("page is not null").distinct()
@@ -95,7 +98,7 @@ def toc_pages(spark, d):
 def marginal_repeats(spark, d):
     """Short texts that a report repeats three times or more."""
     b = C.block_rows(table(spark, d, "parsed")).select("report_no", T.compact_text(F.col("content")).alias("key"))
-    return b.where((F.length("key") >= 1) & (F.length("key") <= 60) & ~F.col("key").rlike(T.PAGE_NUMBER)).groupBy("report_no", "key").agg(F.count("*").alias("n")).where("n >= 3")
+    return b.where((F.length("key") >= 1) & (F.length("key") <= 60) & ~T.is_page_number(F.col("key"))).groupBy("report_no", "key").agg(F.count("*").alias("n")).where("n >= 3")
 
 
 def page_number_drop(spark, d):
@@ -142,7 +145,8 @@ def table_runs(spark, d):
 
 
 def doc_chunks(spark, d):
-    return C.build_chunks(C.block_rows(table(spark, d, "parsed")))
+    parsed = table(spark, d, "parsed")
+    return C.build_chunks(C.block_rows(parsed), docs=parsed.select("report_no", "doc_meta.stock_code", "doc_meta.company_name", "doc_meta.year"))
 
 
 def split_long_text(spark, d):
@@ -380,7 +384,7 @@ def ui_candidate(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        p4_found, p4_units, normalize_text, compact_text, safe_filename, company_from_filename, doc_meta_fallback, output_name, toc_like, toc_pages,
+        p4_found, p4_units, normalize_text, compact_text, safe_filename, company_from_filename, doc_meta_fallback, output_name, toc_like, toc_detected, toc_pages,
         marginal_repeats, page_number_drop, title_level, block_rows, section_path, unit_note, absorbable, md_columns, table_runs, doc_chunks, split_long_text,
         chunk_pages, chunk_ids, buffer_ranges, text_islands, emb_text, cache_last_wins, emb_pending_anti, emb_batches, index_items, emb_missing, l2_normalize,
         index_config, index_integrity, health_counts, companies, failures, year_extract, years_normalize, infer_company, resolve_filters, allowed_ids, tokens,
