@@ -292,14 +292,15 @@ def _filters(spark, d, items):
 
 
 def resolve_filters(spark, d):
-    f = R.resolved_filters(_q(spark, d), _items(spark, d))
+    f = _filters(spark, d, _items(spark, d))
     return f.select("question_id", "code", "year", F.array_join("years", ",").alias("years"))
 
 
 def allowed_ids(spark, d):
     it = _items(spark, d)
-    f = R.signatures(_filters(spark, d, it)).select("question_id", "sig")
-    n = R.eligible(_filters(spark, d, it), it).groupBy("sig").agg(F.count("*").alias("n"))
+    filters = _filters(spark, d, it)
+    f = R.signatures(filters).select("question_id", "sig")
+    n = R.eligible(filters, it).groupBy("sig").agg(F.count("*").alias("n"))
     return f.join(n, "sig", "left").select("question_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
