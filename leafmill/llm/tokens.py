@@ -91,7 +91,7 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, name: str = "byte_b
     kind = np.uint16 if max(ranks.value.values()) < 1 << 16 else np.uint32
 
     def encode(batches):
-        enc, last, code = _encoder(ranks.value, name).encode_ordinary, None, None
+        enc, last, code = _encoder(ranks.value, f"{folder}/{name}").encode_ordinary, None, None
         for pdf in batches:
             out = []
             for word in pdf.word:
@@ -171,7 +171,7 @@ def word_round_trip(df: DataFrame, id_col: str, text_col: str, name: str = "byte
 
     @F.pandas_udf("array<int>")
     def encode(s: pd.Series) -> pd.Series:
-        enc = _encoder(ranks.value, name).encode_ordinary
+        enc = _encoder(ranks.value, f"{folder}/{name}").encode_ordinary
         return pd.Series([enc(w) for w in s])
 
     coded = written(words.select("word", encode("word").alias("ids")), "coded")
