@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,10 +17,10 @@ def current_records(cache: DataFrame) -> DataFrame:
     return last.select("chunk_id", "r.seq", "r.embedding")
 
 
-def usable(vector):
+def usable(vector, dim: int = DIM):
     """Of the right length, with finite numbers, not all zero."""
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.coalesce((F.size(vector) == DIM) & ~bad & F.exists(vector, lambda v: v != 0), F.lit(False))
+    return F.coalesce((F.size(vector) == dim) & ~bad & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
 def unit_vector(vector):
@@ -42,6 +43,26 @@ def index_items(metadata: DataFrame, cache: DataFrame) -> DataFrame:
     return m.join(good, "chunk_id")
 
 
+#: Chunks whose numbers are ranked together.
+RANGE = 1 << 16
+
+
+def dense_items(chunks: DataFrame, cache: DataFrame, dim: int = DIM) -> tuple[DataFrame, DataFrame]:
+    """(items, missing): the chunks with a usable vector, ``vector_id`` dense from 0 in the order of ``chunk_no``, and the others.
+
+    Chunks without content are neither. Ranks are taken within ranges of ``chunk_no`` (unique), with the
+    ranges' counts ahead, so that no task orders all chunks.
+    """
+    text = chunks.where(T.strip(F.coalesce("content", F.lit(""))) != "")
+    good = current_records(cache).where(usable(F.col("embedding"), dim)).select("chunk_id", unit_vector(F.col("embedding")).alias("vec"))
+    rows = text.join(good, "chunk_id").withColumn("range", F.floor(F.col("chunk_no") / RANGE))
+    ahead = rows.groupBy("range").agg(F.count("*").alias("n"))
+    ahead = ahead.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # a row a range
+    rank = F.row_number().over(W.partitionBy("range").orderBy("chunk_no")) - 1 + F.col("ahead")
+    items = rows.join(ahead, "range").select(rank.cast("long").alias("vector_id"), "chunk_id", "content", "meta", "vec")
+    return items, text.join(good.select("chunk_id"), "chunk_id", "left_anti").select("chunk_no", "chunk_id")
+
+
 def companies(metadata: DataFrame) -> DataFrame:
     """Companies of the index with their years, in order."""
     name, code = T.strip(F.coalesce("meta.company_name", F.lit(""))), T.strip(F.coalesce("meta.stock_code", F.lit("")))

@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .index import unit_vector
+
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
@@ -50,3 +52,9 @@ def embed(text: Column, embedder: Embedder = offline_embedder, batch: int = 10,
             yield pd.DataFrame({"embedding": vectors, "error": errors})
 
     return run(text)
+
+
+def question_vectors(questions: DataFrame, embedder: Embedder = offline_embedder, **options) -> DataFrame:
+    """``question_id`` and ``qvec``, the unit vector of each question that the embedder answers; the others have no row."""
+    e = questions.select("question_id", embed(F.col("question"), embedder, **options).alias("e")).where("e.error is null and exists(e.embedding, x -> x <> 0)")
+    return e.select("question_id", unit_vector(F.col("e.embedding")).alias("qvec"))

@@ -41,18 +41,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_STAGES: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back.
 
     It cuts the lineage, so that a stage used several times is computed once and survives the loss of
-    an executor.
+    an executor. The folder stays until :func:`release` is called.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/leafmill-{name}-{uuid.uuid4().hex}"
+    _STAGES.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the stages written so far, once the results that read them are used; how many there were."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), len(_STAGES)
+    while _STAGES:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -135,3 +135,41 @@ def test_request_bounds():
         Request("")
     with pytest.raises(ValueError):
         Request("q", numbers={"top_k": 21})
+
+
+def test_index_writer_and_reader(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, f"c{i}", "t" if i != 3 else " ", ("x",)) for i in range(6)], "chunk_no long, chunk_id string, content string, meta struct<year: string>")
+    cache = spark.createDataFrame([(1, "c0", [3.0, 4.0]), (2, "c2", [1.0, 0.0]), (3, "c2", [0.0, 2.0]), (4, "c3", [1.0, 1.0]), (5, "c4", None), (6, "c5", [1.0, 0.0])], "seq long, chunk_id string, embedding array<float>")
+    missing = S.write_index(chunks, cache, f"{tmp_path}/index", dim=2)
+    assert {r.chunk_id for r in missing.collect()} == {"c1", "c4"}
+    items = {r.vector_id: (r.chunk_id, [round(x, 3) for x in r.vec]) for r in S.load_index(spark, f"{tmp_path}/index").collect()}
+    assert items == {0: ("c0", [0.6, 0.8]), 1: ("c2", [0.0, 1.0]), 2: ("c5", [1.0, 0.0])}
+    config = spark.read.json(f"{tmp_path}/index-config").first()
+    assert (config.chunk_count_input, config.chunk_count_indexed, config.missing_count, config.dimension) == (6, 3, 3, 2)
+    with pytest.raises(ValueError):
+        S.write_index(chunks.limit(0), cache, f"{tmp_path}/none", dim=2)
+
+
+def test_reports_of_one_name(spark, tmp_path):
+    meta = "struct<stock_code: string, year: string, company_name: string>"
+    rows = [(1, ("600001", "2020", "a/b"), "x.json"), (2, ("600001", "2020", "a/b"), "y.json"), (3, (None, "", None), "z.json")]
+    parsed = spark.createDataFrame(rows, f"report_no long, doc_meta {meta}, file string")
+    S.write_parsed(parsed, f"{tmp_path}/parsed")
+    assert {(r.report_no, r.name) for r in spark.read.parquet(f"{tmp_path}/parsed").collect()} == {(2, "600001_2020_a_b.json"), (3, "unknown_unknown_unknown.json")}
+    assert [r.n for r in parsed.select(S.chunk_names().alias("n")).where("report_no = 3").collect()] == ["unknown_unknown_z_chunks.json"]
+
+
+def test_questions_are_embedded(spark):
+    from leafmill.operators.providers import question_vectors
+
+    q = spark.createDataFrame([(1, "abc"), (2, None)], "question_id long, question string")
+    got = {r.question_id: r.qvec for r in question_vectors(q).collect()}
+    assert set(got) == {1} or set(got) == {1, 2}
+    assert abs(sum(x * x for x in got[1]) - 1) < 1e-6
+
+
+def test_contents_pages(spark):
+    toc = "目录\n第一节 概况......1\n第二节 财务......9"
+    rows = [("d", 1, toc), ("d", 2, "正文"), ("d", 3, toc), ("d", 4, toc), ("d", 6, toc), ("e", 13, toc), ("f", 2, None)]
+    p = spark.createDataFrame(rows, "doc_id string, page long, text string")
+    assert [tuple(r) for r in L.toc_runs(p).collect()] == [("d", 3, 4)]

@@ -75,6 +75,22 @@ def test_block_sequences(spark, rows, types):
     assert [(r.chunk_type, r.content) for r in got] == types
 
 
+def test_blocks_of_other_kinds_only_stand_between(spark):
+    rows = [("text", "X", 1, "a"), ("figure", "f", 1, "a"), ("text", "单位：元", 1, "a"), ("figure", "g", 1, "a"), ("table", "| a |", 1, "a"), ("title", "T", 1, "a"), ("figure", "h", 1, "a"), ("figure", "i", 1, "a"), ("table", "", 1, "a")]
+    got = C.build_chunks(_blocks(spark, rows)).orderBy("chunk_seq").collect()
+    assert [(r.chunk_type, r.content, r.n_blocks) for r in got] == [("text", "X", 1), ("table", "单位：元\n\n| a |", 2), ("table", "", 1)]
+
+
+def test_a_scorer_and_a_tokenizer_can_be_given(spark):
+    items = spark.createDataFrame([(1, "ab cd", "n", "c", "2020", "s", 1, 2), (2, "cd", "n", "c", "2020", "s", 1, 2)], "vector_id long, content string, company_name string, stock_code string, year string, section string, page_start int, page_end int")
+    q = spark.createDataFrame([(7, "AB")], "question_id long, question string")
+    c = spark.createDataFrame([(7, 1, 1), (7, 2, 2)], "question_id long, vector_id long, rrf_rank long")
+    got = R.reranked(c, q, items, scorer=lambda a, b: F.when(b.contains(F.lower(a)), 0.9).otherwise(0.3)).orderBy("rerank_rank").collect()
+    assert [(r.vector_id, r.rerank_score) for r in got] == [(1, 0.9), (2, 0.3)]
+    f = spark.createDataFrame([(7, None, None, [])], "question_id long, code string, year string, years array<string>")
+    assert R.keyword_hits(q.selectExpr("question_id", "'ab' as question"), f, items.union(items.selectExpr("vector_id + 2", *["'x'"] * 5, "1", "2")), tokenize=lambda c: F.split(c, " ")).first().vector_id == 1
+
+
 def test_long_islands_are_split(spark):
     same = "甲" * 299 + "。" + "乙" * 299 + "。"
     rows = [("text", same, 1, "a"), ("text", " ", 9, "a"), ("text", same, 2, "a"), ("text", "丙" * 300, 3, "a"), ("title", "T", 3, "a"), ("text", "x" * 2500, 4, "a"), ("table", "| " + "b" * 1500 + " |", 5, "b"), ("text", "Y", 6, "b")]

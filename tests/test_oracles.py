@@ -8,15 +8,14 @@ import duckdb
 import pytest
 
 from leafmill.queries import ORACLES, QUERIES
-
-SLOW = {"rrf_fusion", "rerank_threshold", "references", "no_evidence", "ui_candidate"}  # steps of hybrid_answer
+from leafmill.session import release
 
 
 def _key(row):
     return tuple("NULL" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{v:.5f}" if isinstance(v, float) else str(v) for v in row)
 
 
-@pytest.mark.parametrize("name", [n for n in ORACLES if n not in SLOW])
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_query_equals_sql(spark, data, name):
     con = duckdb.connect()
     for f in glob.glob(data + "/*.parquet"):
@@ -27,4 +26,5 @@ def test_query_equals_sql(spark, data, name):
     rel = con.execute(ORACLES[name])
     names = [x[0] for x in rel.description]
     assert sorted(names) == cols
+    release(spark)
     assert got == sorted(_key([r[names.index(c)] for c in cols]) for r in rel.fetchall())
