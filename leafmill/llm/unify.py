@@ -25,8 +25,8 @@ _TO_LATIN = {ord(a): b for a, b in LOOKALIKES.items()}
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯıɡ]")
 _LATIN, _GREEK, _CYRILLIC = "A-Za-zÀ-ɏɡ̀-ͯ", "Ͱ-Ͽ", "Ѐ-ԯ"
 _RUN = re.compile(f"[{_LATIN}{_GREEK}{_CYRILLIC}]+")
-#: Tokens of one script, as wholes; the two odd Latin letters of the look-alikes aren't Latin here.
-WORDS = "|".join(f"(?<![{_LATIN}{_GREEK}{_CYRILLIC}])[{own}]++(?![{_LATIN}{_GREEK}{_CYRILLIC}])" for own in ("A-Za-zÀ-İĲ-ɏ̀-ͯ", _GREEK, _CYRILLIC))
+#: Tokens as wholes; one that equals a spelling of one script is a token of that script.
+WORDS = f"[{_LATIN}{_GREEK}{_CYRILLIC}]+"
 
 
 def _script(c: str) -> str:
