@@ -181,7 +181,7 @@ def groups(members: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
     """One row an id: ``class_id`` and ``group_id``, the least class of its connected component.
 
     Components come from rounds of large-star and small-star steps over the links as tables; each round is
-    written, and the rounds end when a round changes nothing.
+    written, and the rounds end when a round changes nothing; if that takes more than ``rounds``, an error is raised.
     """
     edges = links.select(F.col("class_a").alias("u"), F.col("class_b").alias("v"))
     for _ in range(rounds):
@@ -196,5 +196,7 @@ def groups(members: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
         edges = new
         if sums[0] == sums[1]:
             break
+    else:
+        raise RuntimeError(f"the components aren't final after {rounds} rounds")
     top = edges.select(F.greatest("u", "v").alias("class_id"), F.least("u", "v").alias("g")).groupBy("class_id").agg(F.min("g").alias("group_id"))
     return members.join(top, "class_id", "left").select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"))

@@ -123,6 +123,10 @@ def test_one_bucket_of_many_near_equal_texts(spark, monkeypatch):
     assert len(got) == len(set(got)) == 301 * 300 // 2  # every pair once
     assert neardup.all_pairs(members, links).count() == 350 * 349 // 2
     assert {r.group_id for r in neardup.groups(members, links).collect()} == {0}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "class_a long, class_b long")
+    alone = spark.createDataFrame([(i, i) for i in range(41)], "id long, class_id long")
+    with pytest.raises(RuntimeError):
+        neardup.groups(alone, chain, rounds=1)
 
 
 def test_bands_reach_the_recall():
