@@ -15,7 +15,6 @@ from decimal import ROUND_HALF_UP, Decimal
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.forms import shape_text
@@ -88,6 +87,8 @@ class Grammar:
         )
         self.label = re.compile(rf"^\s*[（(,/、:\[]?\s*(?:单位[:：]?\s*)?(?:人民币|RMB\s*|CNY\s*)?(?P<unit>{unit})\s*[)）\]]?\s*$", re.I)
 
+        self.caption = re.compile(rf"(?:计量单位为?|单位|\bunits?)\s*[:：为]?\s*(?P<unit>{unit})(?=\s*(?:[)）\]】、,，;；/。]|$))", re.I)
+
     def amount(self, m: re.Match, unit: str | None = None) -> tuple[Decimal, str | None]:
         """(number in the stated unit, that unit's name or None)."""
         g = m.groupdict()
@@ -133,6 +134,13 @@ def _caption_unit(text: str) -> str | None:
     return found
 
 
+def _captions(text: str) -> dict[str, str]:
+    """The unit of each dimension that a line announces for the tables below it."""
+    found = {d: m["unit"] for d, g in _GRAMMARS.items() if d != "money" and (m := g.caption.search(text))}
+    money = _caption_unit(text)
+    return found | {"money": money} if money else found
+
+
 def _en_unit(text: str) -> str:
     low = text.lower()
     return next((u for u in ("thousand", "million", "billion") if u in low), text)
@@ -157,7 +165,7 @@ class Extractor:
         if not self.find.search(text):
             return
         lines = text.split("\n")
-        caption, header, prose = None, None, []
+        caption, header = {}, None
         for line in lines:
             bare = line.strip()
             if bare.startswith("|"):
@@ -171,7 +179,7 @@ class Extractor:
                 continue
             header = None
             if bare:
-                caption = _caption_unit(bare) or (caption if len(bare) < 40 and not prose else caption)
+                caption |= _captions(bare)
                 yield from self._prose(line)
 
     def _row(self, header, cells, caption):
@@ -194,8 +202,7 @@ class Extractor:
         if unit is None and column is not None and column < len(cells):
             label = g.label.match(cells[column])
             unit = label["unit"] if label else None
-        if unit is None and g.dimension == "money":
-            unit = caption
+        unit = unit or caption.get(g.dimension)
         for k in range(1, len(cells)):
             if k == column or (k < len(header) and _SKIP_COLUMN.search(header[k])):
                 continue
@@ -273,51 +280,63 @@ def assign_units(values: DataFrame, id_col: str) -> DataFrame:
 
     Each metric's known values give its distribution on the log scale of the common unit; a component is
     that distribution offset by a known factor, with the factor's habits in decimals. Values of one text
-    share their unit. The weights of the factors come from expectation-maximization.
+    share their unit. The weights of the factors come from expectation-maximization. A metric without known
+    values takes the distribution of its dimension; a language without stated units the habits of the other.
     """
     spark = values.sparkSession
     factors = F.broadcast(_factor_rows(spark))
     size = F.abs(F.col("number").cast("double"))
     rows = values.where(size > 0).select(id_col, "metric_code", "dimension", "style", F.lower("unit").alias("u"), F.least("decimals", F.lit(5)).alias("decimals"), F.log10(size).alias("x"))
     known = rows.where("u is not null").join(factors, ["dimension", "u"])
-    spread = known.withColumn("y", F.col("x") + F.log10("factor")).groupBy("metric_code").agg(F.avg("y").alias("mean"), F.greatest(F.lit(0.3), F.coalesce(F.stddev_pop("y"), F.lit(0.3))).alias("sd"))
+    y, least = F.col("x") + F.log10("factor"), F.lit(0.3)
+    moments = [F.avg(y).alias("mean"), F.greatest(least, F.coalesce(F.stddev_pop(y), least)).alias("sd")]
+    spread, pooled = known.groupBy("metric_code").agg(*moments), known.groupBy("dimension").agg(*moments).toDF("dimension", "any_mean", "any_sd")
     # a row a dimension, style, factor and number of decimals: of bounded number
     habits = known.groupBy("dimension", "style", "factor", "decimals").agg(F.count("*").alias("n")).toPandas()
     table, weights = [], {}
-    for (d, style), part in habits.groupby(["dimension", "style"]):
-        total = part.n.sum()
-        for f, own in part.groupby("factor"):
-            share = own.set_index("decimals").n.reindex(range(6), fill_value=0).to_numpy() + 0.5
-            share = np.log(share / share.sum())
-            weights[d, int(style), float(f)] = own.n.sum() / total
-            table += [(d, int(style), float(f), k, float(share[k])) for k in range(6)]
+    for d, every in habits.groupby("dimension"):
+        for style in (0, 1):
+            part = every[every["style"] == style]
+            part = part if len(part) else every  # units stated in the other language only
+            for f, own in part.groupby("factor"):
+                share = own.groupby("decimals").n.sum().reindex(range(6), fill_value=0).to_numpy() + 0.5
+                share = np.log(share / share.sum())
+                weights[d, style, float(f)] = own.n.sum() / part.n.sum()
+                table += [(d, style, float(f), k, float(share[k])) for k in range(6)]
     if not table:
         return spark.createDataFrame([], f"{id_col} long, dimension string, style int, guess double, posterior double")
     table = F.broadcast(spark.createDataFrame(table, "dimension string, style int, factor double, decimals int, habit double"))
-    z = (F.col("x") + F.log10("factor") - F.col("mean")) / F.col("sd")
-    like = F.greatest(F.lit(-12.0), F.col("habit") - z * z / 2 - F.log("sd"))
-    open_ = rows.where("u is null").join(F.broadcast(spread), "metric_code").join(table, ["dimension", "style", "decimals"])
-    open_ = written(open_.groupBy(id_col, "dimension", "style", "factor").agg(F.sum(like).alias("like")), "likelihoods")
-    group = W.partitionBy(id_col, "dimension", "style")
+    # the rows of a text meet once; the broadcast joins, both sums and all rounds keep that partitioning
+    key = [id_col, "dimension", "style"]
+    open_ = rows.where("u is null").repartition(*key).join(F.broadcast(spread), "metric_code", "left").join(F.broadcast(pooled), "dimension")
+    mean, sd = F.coalesce("mean", "any_mean"), F.coalesce("sd", "any_sd")
+    z = (F.col("x") + F.log10("factor") - mean) / sd
+    like = F.greatest(F.lit(-12.0), F.col("habit") - z * z / 2 - F.log(sd))
+    open_ = open_.join(table, ["dimension", "style", "decimals"]).groupBy(*key, "factor").agg(F.sum(like).alias("like"))
+    open_ = written(open_.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("factor", "like"))).alias("likes")), "likelihoods")  # a group has all factors of its dimension and style
     for i in range(ROUNDS):
-        now = F.broadcast(spark.createDataFrame([(*k, math.log(max(v, 1e-6))) for k, v in weights.items()], "dimension string, style int, factor double, weight double"))
-        post = open_.join(now, ["dimension", "style", "factor"]).withColumn("s", F.col("like") + F.col("weight"))
-        post = post.withColumn("e", F.exp(F.col("s") - F.max("s").over(group))).withColumn("posterior", F.col("e") / F.sum("e").over(group))
+        now = {}
+        for (d, style, _), v in sorted(weights.items()):
+            now.setdefault((d, style), []).append(math.log(max(v, 1e-6)))
+        now = F.broadcast(spark.createDataFrame([(*k, v) for k, v in now.items()], "dimension string, style int, weight array<double>"))
+        post = open_.join(now, ["dimension", "style"]).withColumn("s", F.zip_with("likes", "weight", lambda a, w: a["like"] + w))
+        post = post.withColumn("e", F.transform("s", lambda v: F.exp(v - F.array_max("s")))).withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
+        post = post.withColumn("post", F.zip_with("likes", "e", lambda a, v: F.struct((v / F.col("total")).alias("posterior"), a["factor"].alias("factor"))))
         if i + 1 < ROUNDS:
-            sums = post.groupBy("dimension", "style", "factor").agg(F.sum("posterior").alias("n")).collect()  # a row a factor
+            sums = post.select("dimension", "style", F.inline("post")).groupBy("dimension", "style", "factor").agg(F.sum("posterior").alias("n")).collect()  # a row a factor
             for r in sums:
                 total = sum(x.n for x in sums if (x.dimension, x.style) == (r.dimension, r.style))
                 weights[r.dimension, r.style, r.factor] = 0.5 * weights[r.dimension, r.style, r.factor] + 0.5 * r.n / total
-    best = F.max_by(F.struct(F.col("factor").alias("guess"), "posterior"), F.struct("posterior", "factor")).alias("b")
-    return post.groupBy(id_col, "dimension", "style").agg(best).select(id_col, "dimension", "style", "b.guess", "b.posterior")
+    best = F.array_max("post")
+    return post.select(*key, best["factor"].alias("guess"), best["posterior"].alias("posterior"))
 
 
 def common_amounts(chunks: DataFrame, metrics: DataFrame, id_col: str = "chunk_no", text_col: str = "content", sure: float = 0.8) -> DataFrame:
     """Every stated value in its common unit: ``id_col``, ``metric_code``, ``number``, ``unit``, ``amount``, ``posterior``, ``uncertain``.
 
     ``amount`` is a BIGINT rounded half away from zero. ``posterior`` is 1 where the unit is stated, and
-    where not that of the mixture; below ``sure`` the row is flagged. A value whose unit is missing in a
-    dimension without any stated unit has a null amount. Null and empty texts have no rows.
+    where not that of the mixture; below ``sure`` the row is flagged. 0 is 0 in any unit. Another value whose
+    unit is missing in a dimension without any stated unit has a null amount. Null and empty texts have no rows.
     """
     values = written(stated_values(chunks, metrics, id_col, text_col), "values")
     guess = assign_units(values, id_col)
@@ -327,12 +346,13 @@ def common_amounts(chunks: DataFrame, metrics: DataFrame, id_col: str = "chunk_n
         out = []
         for a, u, d, g in zip(number, unit, dimension, guess):
             f = _GRAMMARS[d].units.get(u.lower()) if u is not None else Decimal(g) if g is not None and g == g else None
+            f = Decimal(1) if f is None and not Decimal(a) else f
             v = None if f is None else (Decimal(a) * f).quantize(Decimal(1), ROUND_HALF_UP)
             out.append(int(v) if v is not None and abs(v) < 1 << 62 else None)
         return pd.Series(out, dtype="Int64")
 
     rows = values.join(guess, [id_col, "dimension", "style"], "left")
-    post = F.when(F.col("unit").isNotNull(), 1.0).otherwise(F.col("posterior"))
+    post = F.when(F.col("unit").isNotNull() | (F.col("number").cast("double") == 0), 1.0).otherwise(F.col("posterior"))
     return rows.select(
         id_col, "metric_code", "number", "unit", F.when(F.col("unit").isNull(), F.col("guess")).alias("assigned_factor"),
         convert("number", "unit", "dimension", "guess").alias("amount"), post.alias("posterior"), (F.coalesce(post, F.lit(0.0)) < sure).alias("uncertain"),

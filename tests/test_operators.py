@@ -125,6 +125,8 @@ METRICS = [("revenue", "营业收入", "Operating revenue", "money"), ("mass", "
     ("Product output reached 0.0807 million tonnes in 2018.", {("mass", 80_700_000)}),
     ("单位：千元\n| 项目 | 附注 | 本年 | 同比增减(%) |\n| --- | --- | --- | --- |\n| 营业收入 | 七、1 | (1,234.5) | 3.2 |", {("revenue", -1_234_500)}),
     ("| 项目 | 单位 | 本年 |\n| --- | --- | --- |\n| 产品产量 | 万吨 | 1.5 |\n| 员工总数（名） |  | 25 |\n| 产品产量 | 不适用 | - |", {("mass", 15_000_000), ("staff", 25)}),
+    ("单位：万吨\n| 项目 | 本年 |\n| --- | --- |\n| 产品产量 | 1.5 |\n| 营业收入 | 0 |", {("mass", 15_000_000), ("revenue", 0)}),
+    ("产品产量为0。员工总数7。", {("mass", 0)}),
     ("", set()), (None, set()), ("营业收入较好。", set()),
 ])
 def test_quantities(spark, text, want):
@@ -144,6 +146,17 @@ def test_missing_units_are_assigned(spark):
     assert Q.common_amounts(d.limit(0), m).count() == 0
 
 
+def test_missing_units_take_their_dimension_or_the_other_language(spark):
+    more = [*METRICS, ("profit", "净利润", "Net profit", "money")]
+    m = spark.createDataFrame(more, "metric_code string, metric_name string, metric_name_en string, dimension string")
+    rows = [(i, f"营业收入{1_000_000 + 977 * i}.25元。营业收入{100 + i}.1234万元。") for i in range(60)]
+    table = "| item | this year | last year |\n| --- | --- | --- |\n| {} | 123.4567 | 140.1111 |"
+    rows += [(100, table.format("净利润")), (101, table.format("Operating revenue")), (102, table.format("Net profit"))]
+    got = Q.common_amounts(spark.createDataFrame(rows, "chunk_no long, content string"), m).where("chunk_no >= 100").collect()
+    assert len(got) == 6 and {r.amount for r in got} == {1_234_567, 1_401_111}
+    assert all(0 < r.posterior < 1 for r in got)
+
+
 def test_fusion_ties(spark):
     v = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2)], "question_id long, vector_id long, vector_score double, vector_rank long")
     k = spark.createDataFrame([(1, 12, 3.0, 1), (1, 10, 2.0, 2)], "question_id long, vector_id long, bm25_score double, bm25_rank long")
