@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,14 +20,15 @@ def block_rows(parsed: DataFrame) -> DataFrame:
     )
 
 
-def section_paths(blocks: DataFrame) -> DataFrame:
+def section_paths(blocks: DataFrame, level: Column | None = None) -> DataFrame:
     """The headings that are open at each block, joined by `` > ``.
 
     A heading closes those of its level and below. Level L is open where its last heading is later than the
-    last heading of every higher level.
+    last heading of every higher level. ``level`` is a title's own level, where it is known; otherwise its text tells.
     """
     order = W.partitionBy("report_no").orderBy("block_no").rowsBetween(W.unboundedPreceding, 0)
-    level = F.when(F.col("kind") == "title", T.title_level(F.col("content")))
+    told = T.title_level(F.col("content"))
+    level = F.when(F.col("kind") == "title", told if level is None else F.coalesce(level, told))
     b = blocks.withColumn("level", level)
     for k in range(1, 7):
         here = F.when(F.col("level") == k, F.struct("block_no", "content"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .chunking import section_paths
 
 PAGE = ["doc_id", "page"]
 # Default font size, tolerances of centres, gaps of lines and blocks, margins.
@@ -104,9 +105,9 @@ def repeated_marginals(blocks: DataFrame, pages: DataFrame, least: int = 3) -> D
     return b.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def block_styles(spans: DataFrame, tables: DataFrame) -> DataFrame:
-    """Text and style of each block without the lines whose centre is in a table."""
-    keep = spans.alias("s").join(tables.alias("t"), [F.col("s.doc_id") == F.col("t.doc_id"), F.col("s.page") == F.col("t.page"), centre_inside("s.line_bbox", "t.bbox", LINE_TOLERANCE)], "left_anti")
+def block_styles(spans: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Text and style of each block without the lines whose centre is in a table; all lines without ``tables``."""
+    keep = spans if tables is None else spans.alias("s").join(tables.alias("t"), [F.col("s.doc_id") == F.col("t.doc_id"), F.col("s.page") == F.col("t.page"), centre_inside("s.line_bbox", "t.bbox", LINE_TOLERANCE)], "left_anti")
     key = [*PAGE, "block_no"]
     line = keep.groupBy(*key, "line_no").agg(
         T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda x: x["text"]), "")).alias("line"), F.max("size").alias("max_font"), F.sum("size").alias("sum_font"),
@@ -120,8 +121,23 @@ def block_styles(spans: DataFrame, tables: DataFrame) -> DataFrame:
     )
 
 
-def classified(blocks: DataFrame, medians: DataFrame, pages: DataFrame, marginals: DataFrame) -> DataFrame:
-    """Text blocks as titles with their level, or text; page numbers and repeated marginal texts are dropped."""
+def marginal_noise(whole: DataFrame, pages: DataFrame, marginals: DataFrame) -> DataFrame:
+    """(doc_id, page, block_no) of blocks wholly in a page's outer margins whose whole text is a page number or a repeated marginal text.
+
+    ``whole`` has the blocks with their lines in tables (:func:`block_styles` without tables).
+    """
+    b = whole.join(pages.select(*PAGE, "height"), PAGE).where((F.col("y1") <= DROP_MARGIN) | (F.col("y0") >= F.col("height") - DROP_MARGIN))
+    b = b.withColumn("key", T.compact_text(F.col("text"))).join(marginals.select("doc_id", "key", F.lit(True).alias("known")), ["doc_id", "key"], "left")
+    return b.where(F.col("known").isNotNull() | T.is_page_number(F.col("key"))).select(*PAGE, "block_no")
+
+
+def classified(blocks: DataFrame, medians: DataFrame, pages: DataFrame, marginals: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Text blocks as titles with their level, or text; page numbers and repeated marginal texts are dropped.
+
+    With ``whole`` (see :func:`marginal_noise`) blocks in the outer margins are judged by their whole text too.
+    """
+    if whole is not None:
+        blocks = blocks.join(marginal_noise(whole, pages, marginals), [*PAGE, "block_no"], "left_anti")
     b = blocks.where("text <> ''").withColumn("key", T.compact_text(F.col("text"))).join(medians, PAGE)
     b = b.join(marginals.select("doc_id", "key"), ["doc_id", "key"], "left_anti").where(~T.is_page_number(F.col("key")))
     flat, n = F.regexp_replace("text", r"\s+", " "), F.length("text")
@@ -149,3 +165,60 @@ def merged_text(elements: DataFrame, gap: float = MERGE_GAP) -> DataFrame:
         F.min_by("kind", "place").alias("kind"), F.min_by("level", "place").alias("level"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("text"),
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
     )
+
+
+def document_meta(files: DataFrame, pages: DataFrame, companies: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ``doc_meta``): company by the file name, year by the file name or the first three pages, code by these pages or the company.
+
+    files: doc_id, ``filename``, ``source_path``. companies: ``company_name``, ``stock_code``; of a name given
+    more than once the greatest code counts. What isn't found is empty.
+    """
+    empty = F.lit("")
+    first = pages.where(F.col("page") <= 3).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", empty).alias("text")))).alias("p"))
+    first = first.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("probe"))
+    rows = files.select("doc_id", F.coalesce("filename", empty).alias("filename"), "source_path").join(first, "doc_id", "left").withColumn("probe", F.coalesce("probe", empty))
+    found = lambda c: F.nullif(c, empty)
+    rows = rows.withColumn("company_name", T.company_from_filename(F.col("filename"))).withColumn("code", found(F.regexp_extract("probe", T.unicode_pattern(T.STOCK_CODE), 1)))
+    year = F.coalesce(found(F.regexp_extract("filename", T.YEAR, 0)), F.regexp_extract("probe", T.YEAR, 0))
+    known = F.lit(None).cast("string")
+    if companies is not None:
+        rows = rows.join(companies.groupBy("company_name").agg(F.max("stock_code").alias("known")), "company_name", "left")
+        known = F.col("known")
+    meta = F.struct("filename", "company_name", F.coalesce("code", known, empty).alias("stock_code"), year.alias("year"), F.lit("annual_report").alias("report_type"), "source_path")
+    return rows.select("doc_id", meta.alias("doc_meta"))
+
+
+def ordered_blocks(pages: DataFrame, words: DataFrame, spans: DataFrame, tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """All steps from layout to blocks: (doc_id, ``block_no`` from 1, ``page``, ``kind``, ``content``, ``section``).
+
+    pages: ``page`` from 1, ``height``, ``text``. The cover and contents pages give no blocks but count for
+    repeated marginal texts. Blank contents are dropped. A document without blocks has no rows.
+    """
+    whole = block_styles(spans)
+    marginals = repeated_marginals(whole, pages)
+    text = classified(block_styles(spans, tables), font_medians(pages, spans), pages, marginals, whole)
+    box = [F.col(f"bbox.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")]
+    table = table_markdown(cells, words, tables).join(tables, [*PAGE, "table_no"]).where("markdown <> ''")
+    table = table.select(*PAGE, F.lit("table").alias("kind"), F.lit(None).cast("int").alias("level"), F.col("markdown").alias("text"), *box, F.col("table_no").alias("seq"))
+    body = pages.select(*PAGE).where("page > 1").join(toc_runs(pages), "doc_id", "left").where("first_page is null or page not between first_page and last_page")
+    elements = text.withColumnRenamed("block_no", "seq").unionByName(table).join(body, PAGE, "left_semi")
+    merged = merged_text(reading_order(elements)).withColumn("content", T.normalize_text(F.col("text"))).where("content <> ''")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "island"))
+    blocks = merged.select("doc_id", place.cast("long").alias("block_no"), "page", "kind", "level", "content")
+    heads = blocks.select(F.col("doc_id").alias("report_no"), "block_no", "kind", "level", F.replace("content", F.lit("\n"), F.lit(" ")).alias("content"))
+    paths = section_paths(heads, F.col("level")).select(F.col("report_no").alias("doc_id"), "block_no", F.col("path").alias("section"))
+    return blocks.drop("level").join(paths, ["doc_id", "block_no"])
+
+
+def parsed_reports(files: DataFrame, pages: DataFrame, words: DataFrame, spans: DataFrame, tables: DataFrame, cells: DataFrame, companies: DataFrame | None = None) -> DataFrame:
+    """One row a file, as the sources read and write parsed reports: doc_id, ``doc_meta``, ``blocks`` (an empty list without any)."""
+    blocks = ordered_blocks(pages, words, spans, tables, cells).join(document_meta(files, pages, companies), "doc_id")
+    own = [F.col(f"doc_meta.{k}").alias(k) for k in ("filename", "company_name", "stock_code", "year")]
+    block = F.struct("content", F.struct(F.col("kind").alias("block_type"), F.col("page").cast("int").alias("page"), *own, "section").alias("meta"))
+    nested = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", block.alias("b")))).alias("all")).select("doc_id", F.transform("all", lambda x: x["b"]).alias("blocks"))
+    count = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("page_count"))
+    rows = document_meta(files, pages, companies).join(count, "doc_id", "left").join(toc_runs(pages), "doc_id", "left").join(nested, "doc_id", "left")
+    none = F.array().cast("array<int>")
+    toc = F.when(F.col("first_page").isNotNull(), F.sequence(F.col("first_page").cast("int"), F.col("last_page").cast("int"))).otherwise(none)
+    meta = F.struct("doc_meta.*", F.coalesce("page_count", F.lit(0)).alias("page_count"), F.struct(F.array(F.lit(1)).alias("cover"), toc.alias("toc")).alias("skipped_pages"))
+    return rows.select("doc_id", meta.alias("doc_meta"), F.coalesce("blocks", F.array().cast(nested.schema["blocks"].dataType)).alias("blocks"))

@@ -173,3 +173,32 @@ def test_contents_pages(spark):
     rows = [("d", 1, toc), ("d", 2, "正文"), ("d", 3, toc), ("d", 4, toc), ("d", 6, toc), ("e", 13, toc), ("f", 2, None)]
     p = spark.createDataFrame(rows, "doc_id string, page long, text string")
     assert [tuple(r) for r in L.toc_runs(p).collect()] == [("d", 3, 4)]
+
+
+def test_layout_to_parsed_reports(spark, tmp_path):
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    toc = "目录\n第一节 概况......1\n第二节 财务......9"
+    pages = [("d", 1, 800.0, "封面 股票代码：600001"), ("d", 2, 800.0, toc), ("d", 3, 800.0, "正文"), ("d", 4, 800.0, None), ("e", 1, 800.0, None)]
+    spans = [("d", p, 0, 0, 0, (0.0, 10.0, 90.0, 20.0), "某某公司 2020", 9.0, "Song", 0) for p in (1, 2, 3, 4)]  # repeats in the margin
+    spans += [("d", 2, 1, 0, 0, (0.0, 100.0, 90.0, 110.0), "目录", 10.0, "Song", 0), ("d", 3, 1, 0, 0, (0.0, 100.0, 90.0, 110.0), "第一节", 14.0, "Song", 0), ("d", 3, 1, 1, 0, (0.0, 111.0, 90.0, 120.0), "概况", 14.0, "Song", 0)]
+    spans += [("d", 3, 2, 0, 0, (0.0, 130.0, 90.0, 140.0), "正文的内容，说明。", 10.0, "Song", 0), ("d", 3, 3, 0, 0, (0.0, 144.0, 90.0, 154.0), "续行，说明。", 10.0, "Song", 0), ("d", 3, 4, 0, 0, (0.0, 300.0, 90.0, 310.0), "甲 乙", 10.0, "Song", 0)]
+    spans += [("d", 4, 1, 0, 0, (0.0, 100.0, 90.0, 110.0), "一、业务", 14.0, "Song", 0), ("d", 4, 2, 0, 0, (0.0, 130.0, 90.0, 140.0), "后文，说明。", 10.0, "Song", 0)]
+    # a foot whose lines lie half in a table: only its whole text is a repeated one
+    spans += [("d", 4, 3, 0, 0, (0.0, 780.0, 90.0, 785.0), "某某公司", 10.0, "Song", 0), ("d", 4, 3, 1, 0, (0.0, 786.0, 90.0, 790.0), "2020", 10.0, "Song", 0)]
+    spans = spark.createDataFrame(spans, f"doc_id string, page long, block_no int, line_no int, span_no int, line_bbox {box}, text string, size double, font string, flags int")
+    pages = spark.createDataFrame(pages, "doc_id string, page long, height double, text string")
+    words = spark.createDataFrame([("d", 3, 10.0, 300.0, 20.0, 308.0, "甲"), ("d", 3, 60.0, 300.0, 70.0, 308.0, "乙")], "doc_id string, page long, x0 double, y0 double, x1 double, y1 double, text string")
+    tables = spark.createDataFrame([("d", 3, 0, (0.0, 295.0, 100.0, 315.0)), ("d", 4, 0, (0.0, 785.5, 100.0, 795.0))], f"doc_id string, page long, table_no int, bbox {box}")
+    cells = spark.createDataFrame([("d", 3, 0, 0, 0, (0.0, 295.0, 50.0, 315.0)), ("d", 3, 0, 0, 1, (50.0, 295.0, 100.0, 315.0))], f"doc_id string, page long, table_no int, row_no int, col_no int, bbox {box}")
+    files = spark.createDataFrame([("d", "甲乙_2021.pdf", "/x/a.pdf"), ("e", None, None)], "doc_id string, filename string, source_path string")
+    companies = spark.createDataFrame([("丙", "600002")], "company_name string, stock_code string")
+    got = {r.doc_id: r for r in L.parsed_reports(files, pages, words, spans, tables, cells, companies).collect()}
+    assert [(b.meta.block_type, b.meta.page, b.content, b.meta.section) for b in got["d"].blocks] == [
+        ("title", 3, "第一节\n概况", "第一节 概况"), ("text", 3, "正文的内容，说明。\n续行，说明。", "第一节 概况"), ("table", 3, "| 甲 | 乙 |\n| --- | --- |", "第一节 概况"),
+        ("title", 4, "一、业务", "第一节 概况 > 一、业务"), ("text", 4, "后文，说明。", "第一节 概况 > 一、业务"),
+    ]
+    m = got["d"].doc_meta
+    assert (m.stock_code, m.year, m.page_count, m.skipped_pages.cover, m.skipped_pages.toc) == ("600001", "2021", 4, [1], [2])
+    assert got["e"].blocks == [] and (got["e"].doc_meta.year, got["e"].doc_meta.stock_code, got["e"].doc_meta.page_count) == ("", "", 1)
+    S.write_parsed(L.parsed_reports(files, pages, words, spans, tables, cells).withColumnRenamed("doc_id", "file"), f"{tmp_path}/parsed")
+    assert spark.read.parquet(f"{tmp_path}/parsed").count() == 2
