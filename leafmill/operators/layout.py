@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 from .chunking import section_paths
 
 PAGE = ["doc_id", "page"]
@@ -194,8 +195,8 @@ def ordered_blocks(pages: DataFrame, words: DataFrame, spans: DataFrame, tables:
     pages: ``page`` from 1, ``height``, ``text``. The cover and contents pages give no blocks but count for
     repeated marginal texts. Blank contents are dropped. A document without blocks has no rows.
     """
-    whole = block_styles(spans)
-    marginals = repeated_marginals(whole, pages)
+    whole = written(block_styles(spans), "blocks-whole")
+    marginals = written(repeated_marginals(whole, pages), "marginals")
     text = classified(block_styles(spans, tables), font_medians(pages, spans), pages, marginals, whole)
     box = [F.col(f"bbox.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")]
     table = table_markdown(cells, words, tables).join(tables, [*PAGE, "table_no"]).where("markdown <> ''")
@@ -204,6 +205,7 @@ def ordered_blocks(pages: DataFrame, words: DataFrame, spans: DataFrame, tables:
     elements = text.withColumnRenamed("block_no", "seq").unionByName(table).join(body, PAGE, "left_semi")
     merged = merged_text(reading_order(elements)).withColumn("content", T.normalize_text(F.col("text"))).where("content <> ''")
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "island"))
+    merged = written(merged, "elements")
     blocks = merged.select("doc_id", place.cast("long").alias("block_no"), "page", "kind", "level", "content")
     heads = blocks.select(F.col("doc_id").alias("report_no"), "block_no", "kind", "level", F.replace("content", F.lit("\n"), F.lit(" ")).alias("content"))
     paths = section_paths(heads, F.col("level")).select(F.col("report_no").alias("doc_id"), "block_no", F.col("path").alias("section"))
@@ -212,13 +214,14 @@ def ordered_blocks(pages: DataFrame, words: DataFrame, spans: DataFrame, tables:
 
 def parsed_reports(files: DataFrame, pages: DataFrame, words: DataFrame, spans: DataFrame, tables: DataFrame, cells: DataFrame, companies: DataFrame | None = None) -> DataFrame:
     """One row a file, as the sources read and write parsed reports: doc_id, ``doc_meta``, ``blocks`` (an empty list without any)."""
-    blocks = ordered_blocks(pages, words, spans, tables, cells).join(document_meta(files, pages, companies), "doc_id")
+    metas = written(document_meta(files, pages, companies), "metas")
+    blocks = ordered_blocks(pages, words, spans, tables, cells).join(metas, "doc_id")
     own = [F.col(f"doc_meta.{k}").alias(k) for k in ("filename", "company_name", "stock_code", "year")]
     block = F.struct("content", F.struct(F.col("kind").alias("block_type"), F.col("page").cast("int").alias("page"), *own, "section").alias("meta"))
     nested = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", block.alias("b")))).alias("all")).select("doc_id", F.transform("all", lambda x: x["b"]).alias("blocks"))
     count = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("page_count"))
-    rows = document_meta(files, pages, companies).join(count, "doc_id", "left").join(toc_runs(pages), "doc_id", "left").join(nested, "doc_id", "left")
+    rows = metas.join(count, "doc_id", "left").join(toc_runs(pages), "doc_id", "left").join(nested, "doc_id", "left")
     none = F.array().cast("array<int>")
     toc = F.when(F.col("first_page").isNotNull(), F.sequence(F.col("first_page").cast("int"), F.col("last_page").cast("int"))).otherwise(none)
     meta = F.struct("doc_meta.*", F.coalesce("page_count", F.lit(0)).alias("page_count"), F.struct(F.array(F.lit(1)).alias("cover"), toc.alias("toc")).alias("skipped_pages"))
-    return rows.select("doc_id", meta.alias("doc_meta"), F.coalesce("blocks", F.array().cast(nested.schema["blocks"].dataType)).alias("blocks"))
+    return written(rows.select("doc_id", meta.alias("doc_meta"), F.coalesce("blocks", F.array().cast(nested.schema["blocks"].dataType)).alias("blocks")), "parsed")

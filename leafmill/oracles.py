@@ -265,6 +265,10 @@ ORACLES: dict[str, str] = {
     "references": f"WITH {CONTEXT} SELECT question_id, rerank_rank AS ref_id, vector_id, chunk_id, rerank_score, used::BIGINT AS used FROM cx",
     "hybrid_answer": f"""WITH {CONTEXT}, a AS (SELECT question_id, string_agg(text, chr(10) || chr(10) ORDER BY rerank_rank) AS context, count(*) AS cited FROM cx GROUP BY 1)
         SELECT question_id, coalesce(cited, 0) AS cited, md5(coalesce(context, '根据已检索到的资料，无法回答该问题。')) AS context_md5 FROM questions LEFT JOIN a USING (question_id)""",
+    "answer_usage": f"""WITH {CONTEXT}, n AS (SELECT question_id, 1 AS k, 0 AS c FROM vk UNION ALL SELECT question_id, 2, 0 FROM kw UNION ALL SELECT question_id, 3, 0 FROM fr UNION ALL SELECT question_id, 4, 0 FROM rs
+        UNION ALL SELECT question_id, 5, 0 FROM rk UNION ALL SELECT question_id, 6, length(text) FROM cx UNION ALL SELECT question_id, 0, 0 FROM questions)
+        SELECT question_id, {', '.join(f"count(*) FILTER (k = {k}) AS {c}" for k, c in enumerate(('vector_count', 'bm25_count', 'rrf_count', 'rerank_input_count', 'rerank_output_count', 'final_reference_count'), 1))},
+        (sum(c) + 2 * greatest(count(*) FILTER (k = 6) - 1, 0))::BIGINT AS context_chars FROM n GROUP BY 1""",
     "no_evidence": f"WITH {RANKED} SELECT question_id FROM questions WHERE question_id NOT IN (SELECT question_id FROM rk)",
     "debug_preview": f"SELECT vector_id::BIGINT AS vector_id, {pages('meta.page_start', 'meta.page_end')} AS pages, substr(content, 1, 200) AS preview FROM metadata",
     "ui_candidate": f"""WITH {RANKED} SELECT rk.question_id, vector_id, format('{{:.4f}}', rerank_score) AS score, substr(content, 1, st.content_preview_chars) AS preview, CASE WHEN include_content THEN length(content) END AS full_chars

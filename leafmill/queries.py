@@ -364,6 +364,12 @@ def hybrid_answer(spark, d):
     return q.select("question_id").join(c, "question_id", "left").select("question_id", F.coalesce("cited", F.lit(0)).alias("cited"), F.md5(F.coalesce("context", none)).alias("context_md5"))
 
 
+def answer_usage(spark, d):
+    """How many items each stage had for each question, and the length of its context."""
+    q, it, f, kw = _stages(spark, d)
+    return R.answer_stages(q, f, it, written(_vectors(q, it, f, kw), "vector"), kw)["usage"]
+
+
 def no_evidence(spark, d):
     q, _, ranked = _ranked(spark, d)
     return q.select("question_id").join(ranked.select("question_id").distinct(), "question_id", "left_anti")
@@ -389,6 +395,6 @@ QUERIES = {
         marginal_repeats, page_number_drop, title_level, block_rows, section_path, unit_note, absorbable, md_columns, table_runs, doc_chunks, split_long_text,
         chunk_pages, chunk_ids, buffer_ranges, text_islands, emb_text, cache_last_wins, emb_pending_anti, emb_batches, index_items, emb_missing, l2_normalize,
         index_config, index_integrity, health_counts, companies, failures, year_extract, years_normalize, infer_company, resolve_filters, allowed_ids, tokens,
-        bm25_topk, vector_topk, rrf_fusion, rerank_threshold, rerank_document, references, hybrid_answer, no_evidence, debug_preview, ui_candidate,
+        bm25_topk, vector_topk, rrf_fusion, rerank_threshold, rerank_document, references, hybrid_answer, answer_usage, no_evidence, debug_preview, ui_candidate,
     )
 }
