@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import BROADCAST_ROWS, written
 
 DIM = 64
 
@@ -26,7 +27,7 @@ def usable(vector, dim: int = DIM):
 def unit_vector(vector):
     v = vector.cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / norm)
+    return F.transform(F.array(norm), lambda n: F.transform(v, lambda x: x / n))[0]  # the norm once, not for each number
 
 
 def pending(chunks: DataFrame, cache: DataFrame) -> DataFrame:
@@ -43,6 +44,25 @@ def index_items(metadata: DataFrame, cache: DataFrame) -> DataFrame:
     return m.join(good, "chunk_id")
 
 
+def split_items(metadata: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`index_items` as (texts and filter fields, filter fields and vectors).
+
+    Only ids and vectors move: the texts are read where they are, without the chunks that have no vector.
+    """
+    good = current_records(cache).where(usable(F.col("embedding"))).select("chunk_id", "embedding")
+    m = metadata.where("chunk_id is not null").select(F.col("vector_id").cast("long").alias("vector_id"), "chunk_id", "meta.stock_code", "meta.year")
+    both = written(m.join(good, "chunk_id", "left"), "vectors")
+    vectors = both.where("embedding is not null").select("vector_id", "chunk_id", "stock_code", "year", unit_vector(F.col("embedding")).alias("vec"))
+    missing = both.where("embedding is null").select("chunk_id").distinct()
+    rows = metadata.where("chunk_id is not null")
+    if missing.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(missing), "chunk_id", "left_anti")
+    else:
+        rows = rows.join(vectors.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    fields = ("company_name", "stock_code", "year", "section", "page_start", "page_end")
+    return rows.select(F.col("vector_id").cast("long").alias("vector_id"), "chunk_id", "content", *[f"meta.{f}" for f in fields]), vectors
+
+
 #: Chunks whose numbers are ranked together.
 RANGE = 1 << 16
 

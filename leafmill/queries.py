@@ -270,7 +270,8 @@ def _q(spark, d):
 
 
 def _items(spark, d):
-    return written(I.index_items(table(spark, d, "metadata"), table(spark, d, "embedding_cache")), "items")
+    """Texts and vectors of the indexed items."""
+    return I.split_items(table(spark, d, "metadata"), table(spark, d, "embedding_cache"))
 
 
 def year_extract(spark, d):
@@ -283,7 +284,7 @@ def years_normalize(spark, d):
 
 
 def infer_company(spark, d):
-    f = R.inferred_filters(_q(spark, d), _items(spark, d))
+    f = R.inferred_filters(_q(spark, d), _items(spark, d)[0])
     return f.select("question_id", "code", "company")
 
 
@@ -292,12 +293,12 @@ def _filters(spark, d, items):
 
 
 def resolve_filters(spark, d):
-    f = _filters(spark, d, _items(spark, d))
+    f = _filters(spark, d, _items(spark, d)[0])
     return f.select("question_id", "code", "year", F.array_join("years", ",").alias("years"))
 
 
 def allowed_ids(spark, d):
-    it = _items(spark, d)
+    it = _items(spark, d)[0]
     filters = _filters(spark, d, it)
     f = R.signatures(filters).select("question_id", "sig")
     n = R.eligible(filters, it).groupBy("sig").agg(F.count("*").alias("n"))
@@ -310,35 +311,36 @@ def tokens(spark, d):
 
 
 def _stages(spark, d):
-    q, it = _q(spark, d), _items(spark, d)
+    q, (it, vectors) = _q(spark, d), _items(spark, d)
     f = _filters(spark, d, it)
     kw = written(R.keyword_hits(q, f, it), "keyword")
-    return q, it, f, kw
+    return q, it, vectors, f, kw
 
 
-def _vectors(q, it, f, kw):
+def _vectors(q, vectors, f, kw):
     """The offline embedder: a question has the vector of its best keyword hit."""
-    own = kw.where("bm25_rank = 1").join(it.select("vector_id", F.col("vec").alias("qvec")), "vector_id").select("question_id", "qvec")
-    return R.vector_hits(own, f, it, q)
+    own = kw.where("bm25_rank = 1").join(vectors.select("vector_id", F.col("vec").alias("qvec")), "vector_id").select("question_id", "qvec")
+    return R.vector_hits(own, f, vectors, q)
 
 
 def bm25_topk(spark, d):
-    return _stages(spark, d)[3]
+    return _stages(spark, d)[4]
 
 
 def vector_topk(spark, d):
-    return _vectors(*_stages(spark, d))
+    q, _, vectors, f, kw = _stages(spark, d)
+    return _vectors(q, vectors, f, kw)
 
 
 def rrf_fusion(spark, d):
-    s = _stages(spark, d)
-    return R.fused(_vectors(*s), s[3], s[0]).select("question_id", "vector_id", "rrf_score", "rrf_rank", "sources")
+    q, _, vectors, f, kw = _stages(spark, d)
+    return R.fused(_vectors(q, vectors, f, kw), kw, q).select("question_id", "vector_id", "rrf_score", "rrf_rank", "sources")
 
 
 def _ranked(spark, d):
-    s = _stages(spark, d)
-    best = R.fused(_vectors(*s), s[3], s[0]).where("candidate")  # before the costlier scorer
-    return s[0], s[1], written(R.reranked(best, s[0], s[1]), "ranked")
+    q, it, vectors, f, kw = _stages(spark, d)
+    best = R.fused(_vectors(q, vectors, f, kw), kw, q).where("candidate")  # before the costlier scorer
+    return q, it, written(R.reranked(best, q, it), "ranked")
 
 
 def rerank_threshold(spark, d):
@@ -366,8 +368,8 @@ def hybrid_answer(spark, d):
 
 def answer_usage(spark, d):
     """How many items each stage had for each question, and the length of its context."""
-    q, it, f, kw = _stages(spark, d)
-    return R.answer_stages(q, f, it, written(_vectors(q, it, f, kw), "vector"), kw)["usage"]
+    q, it, vectors, f, kw = _stages(spark, d)
+    return R.answer_stages(q, f, it, written(_vectors(q, vectors, f, kw), "vector"), kw)["usage"]
 
 
 def no_evidence(spark, d):

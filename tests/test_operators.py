@@ -211,3 +211,35 @@ def test_keyword_hits_of_odd_items(spark):
     assert {(r.question_id, r.n) for r in R.eligible(filters, items).join(R.signatures(filters), "sig").groupBy("question_id").agg(F.count("*").alias("n")).collect()} == {(1, 7), (3, 7), (4, 2)}
     assert R.keyword_hits(questions, filters, items.limit(0)).count() == 0
     assert R.keyword_hits(questions.limit(0), filters.limit(0), items).count() == 0
+
+
+@pytest.mark.parametrize("code_items,item_block", [(10_000, 60_000), (5, 7), (0, 60_000)])
+def test_keyword_hits_equal_brute_force(spark, monkeypatch, code_items, item_block):
+    monkeypatch.setattr(R, "CODE_ITEMS", code_items)  # codes of many items meet their questions in blocks
+    monkeypatch.setattr(R, "ITEM_BLOCK", item_block)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    rng = np.random.RandomState(5)
+    words = [f"w{chr(97 + i)}" for i in range(12)]
+    odds = 1 / np.arange(1, 13) / np.sum(1 / np.arange(1, 13))
+    items = [(i, " ".join(rng.choice(words, 3 + i % 5, p=odds)), "aab"[i % 3] if i % 7 else None, str(2020 + i % 4) if i % 5 else None) for i in range(60)]
+    filters = [(0, None, None, []), (1, "a", None, []), (2, "b", "2021", []), (3, None, "2022", ["2022", "2021"]), (4, "a", None, ["2020", "2023"]), (5, None, None, ["2021", "2023"]), (6, "none", None, []), (7, None, "2021", ["2022"])]
+    filters += [(8, None, None, []), (9, "a", None, [])]
+    asked = [(n, "wa wb wb wk" if n in (0, 1, 8, 9) else f"wa wa {words[n]} zz", 3 if n > 7 else 5) for n in range(10)]
+    want = {}
+    for (n, text, k), (_, code, year, years) in zip(asked, filters):
+        own = [(i, t.split()) for i, t, c, y in items if (code is None or c == code) and (year is None or y == year) and (not years or y in years)]
+        n_own, avgdl = len(own), sum(len(t) for _, t in own) / max(1, len(own))
+        df = {w: sum(w in t for _, t in own) for w in words}
+        raw = {w: np.log(n_own - d + 0.5) - np.log(d + 0.5) for w, d in df.items() if d}
+        mean = np.mean(list(raw.values())) if raw else 0
+        s = {i: sum((raw[w] if raw[w] >= 0 else 0.25 * mean) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avgdl)) for w in text.split() if w in t) for i, t in own}
+        s = {i: round(v, 4) for i, v in s.items()}
+        if best := sorted((i for i in s if s[i] > 0), key=lambda i: (-s[i], i))[:k]:
+            want[n] = [(i, s[i]) for i in best]
+    got = {}
+    q = spark.createDataFrame(asked, "question_id long, question string, bm25_top_k int")
+    f = spark.createDataFrame(filters, "question_id long, code string, year string, years array<string>")
+    it = spark.createDataFrame(items, "vector_id long, content string, stock_code string, year string")
+    for r in R.keyword_hits(q, f, it).orderBy("question_id", "bm25_rank").collect():
+        got.setdefault(r.question_id, []).append((r.vector_id, pytest.approx(r.bm25_score, abs=2e-4)))
+    assert want == got and {0, 1, 5} <= set(got)
