@@ -385,7 +385,7 @@ def debug_preview(spark, d):
 def ui_candidate(spark, d):
     """Re-ranked items with the previews that each question asks for."""
     q, it, ranked = _ranked(spark, d)
-    c = ranked.join(it.select("vector_id", "chunk_id", "content"), "vector_id").join(q.select("question_id", "include_content"), "question_id")
+    c = ranked.join(R.rows_of(it.select("vector_id", "chunk_id", "content"), ranked), "vector_id").join(q.select("question_id", "include_content"), "question_id")
     c = R.with_settings(c, q, "content_preview_chars")
     return c.select("question_id", "vector_id", F.format_string("%.4f", "rerank_score").alias("score"), F.expr("substring(content, 1, content_preview_chars)").alias("preview"), F.when(F.col("include_content"), F.length("content")).cast("long").alias("full_chars"))
 
