@@ -10,7 +10,7 @@ from leafmill.session import release, shared_folder
 
 DATA = "/root/testdata/sf0.01"
 #: MB of shuffle and written stages for each MB of metadata, embedding_cache and questions.
-MOST = {"vector_topk": 6, "rerank_threshold": 8, "hybrid_answer": 8, "references": 8, "ui_candidate": 8, "answer_usage": 8}
+MOST = {"vector_topk": 6, "rerank_threshold": 8, "hybrid_answer": 8, "references": 8, "ui_candidate": 8, "answer_usage": 8, "no_evidence": 8}
 
 
 def _moved(spark):
