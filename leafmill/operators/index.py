@@ -45,14 +45,14 @@ def index_items(metadata: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def split_items(metadata: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of :func:`index_items` as (texts and filter fields, filter fields and vectors).
+    """The rows of :func:`index_items` as (texts and filter fields, filter fields and ``embedding`` as it was given).
 
     Only ids and vectors move: the texts are read where they are, without the chunks that have no vector.
     """
     good = current_records(cache).where(usable(F.col("embedding"))).select("chunk_id", "embedding")
     m = metadata.where("chunk_id is not null").select(F.col("vector_id").cast("long").alias("vector_id"), "chunk_id", "meta.stock_code", "meta.year")
     both = written(m.join(good, "chunk_id", "left"), "vectors")
-    vectors = both.where("embedding is not null").select("vector_id", "chunk_id", "stock_code", "year", unit_vector(F.col("embedding")).alias("vec"))
+    vectors = both.where("embedding is not null").select("vector_id", "chunk_id", "stock_code", "year", "embedding")
     missing = both.where("embedding is null").select("chunk_id").distinct()
     rows = metadata.where("chunk_id is not null")
     if missing.count() <= BROADCAST_ROWS:

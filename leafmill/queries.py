@@ -319,7 +319,8 @@ def _stages(spark, d):
 
 def _vectors(q, vectors, f, kw):
     """The offline embedder: a question has the vector of its best keyword hit."""
-    own = kw.where("bm25_rank = 1").join(vectors.select("vector_id", F.col("vec").alias("qvec")), "vector_id").select("question_id", "qvec")
+    best = kw.where("bm25_rank = 1").select("question_id", "vector_id")
+    own = best.join(R.rows_of(vectors.select("vector_id", "embedding"), best), "vector_id").select("question_id", I.unit_vector(F.col("embedding")).alias("qvec"))
     return R.vector_hits(own, f, vectors, q)
 
 
@@ -355,7 +356,7 @@ def rerank_document(spark, d):
 def references(spark, d):
     """The items cited for each question, with the characters they use of the context."""
     q, it, ranked = _ranked(spark, d)
-    return R.context_items(ranked, it, q).select("question_id", F.col("rerank_rank").alias("ref_id"), "vector_id", "chunk_id", "rerank_score", F.col("used").cast("long").alias("used"))
+    return R.cited_items(ranked, it, q).select("question_id", F.col("rerank_rank").alias("ref_id"), "vector_id", "chunk_id", "rerank_score", F.col("used").cast("long").alias("used"))
 
 
 def hybrid_answer(spark, d):

@@ -1,10 +1,14 @@
 """What a query moves and writes stays in proportion to the tables that it reads."""
 
 import os
+import random
+import time
 from pathlib import Path
 
 import pytest
 
+from leafmill import queries
+from leafmill.operators import retrieval as R
 from leafmill.queries import QUERIES
 from leafmill.session import release, shared_folder
 
@@ -30,3 +34,58 @@ def test_moved_bytes(spark, name):
     print(f"MOVED {name} {moved / read:.2f}")
     release(spark)
     assert moved <= MOST[name] * read
+
+
+def _settled(spark):
+    time.sleep(0.5)  # the status store is updated now and then
+    return _moved(spark)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Small tables move as large ones do."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _long_texts(spark):
+    """Questions, items of texts that don't compress (0.9 MB), each re-ranked for some questions."""
+    rng = random.Random(3)
+    text = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(3000 + i)) for i in range(100)]
+    items = [(i, f"c{i}", text[i], "n", "600000", "2020", "s", 1, 2) for i in range(100)]
+    q = spark.createDataFrame([(n, "q", 9000) for n in range(20)], "question_id long, question string, max_context_chars int")
+    fields = "vector_id long, chunk_id string, content string, company_name string, stock_code string, year string, section string, page_start int, page_end int"
+    ranked = spark.createDataFrame([(n, (7 * n + r) % 100, r, 1.0, r) for n in range(20) for r in range(1, 12)], "question_id long, vector_id long, rrf_rank long, rerank_score double, rerank_rank long")
+    return q, spark.createDataFrame(items, fields), ranked
+
+
+def test_references_move_lengths_not_texts(spark, monkeypatch, no_broadcast):
+    given = _long_texts(spark)
+    monkeypatch.setattr(queries, "_ranked", lambda *_: given)
+    before = _settled(spark)
+    got = [r for r in queries.references(spark, DATA).collect() if r.question_id == 2]
+    moved = _settled(spark) - before
+    rest = len("【1】\n公司：n\n股票代码：600000\n年份：2020\n页码：1-2\n章节：s\n内容：")
+    assert [(r.ref_id, r.vector_id, r.chunk_id, r.used) for r in sorted(got, key=lambda r: r.ref_id)] == [(1, 15, "c15", 3015 + rest), (2, 16, "c16", 6031 + 2 * rest)]
+    assert moved < 100_000
+    release(spark)
+
+
+def test_vectors_move_as_they_were_given(spark, no_broadcast):
+    """A vector as 64 floats, not as 64 doubles, and only the asked ones for the questions' vectors."""
+    moved = []
+    for name in ("bm25_topk", "vector_topk"):
+        before = _settled(spark)
+        QUERIES[name](spark, DATA).write.format("noop").mode("overwrite").save()
+        moved.append(_settled(spark) - before)
+        release(spark)
+    assert moved[1] - moved[0] < 1.1 * os.path.getsize(f"{DATA}/embedding_cache.parquet")
+
+
+def test_rows_of_names_each_item_exactly(spark):
+    ids = [0, 1, 63, 64, 65, 127, 4000, 1 << 40, -1, -64]
+    items = spark.createDataFrame([(i, "x") for i in [*range(-130, 200), 1 << 40, 4000, 4001]], "vector_id long, k string")
+    named = spark.createDataFrame([(i,) for i in [*ids, *ids, 999_999, None]], "vector_id long")
+    got = R.rows_of(items, named)
+    assert got.columns == items.columns and sorted(r.vector_id for r in got.collect()) == sorted(ids)
