@@ -42,18 +42,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _STAGES: list[str] = []
+#: Spark's setting that removes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back.
 
     It cuts the lineage, so that a stage used several times is computed once and survives the loss of
-    an executor. The folder stays until :func:`release` is called.
+    an executor. The shuffle files of the write go when it is over; otherwise they stay until the driver
+    happens to collect its garbage. The folder stays until :func:`release` is called.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/leafmill-{name}-{uuid.uuid4().hex}"
     _STAGES.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,7 +10,7 @@ import pytest
 from leafmill import queries
 from leafmill.operators import retrieval as R
 from leafmill.queries import QUERIES
-from leafmill.session import release, shared_folder
+from leafmill.session import CLEANUP, release, shared_folder
 
 DATA = "/root/testdata/sf0.01"
 #: MB of shuffle and written stages for each MB of metadata, embedding_cache and questions.
@@ -111,3 +111,18 @@ def test_answer_usage_writes_and_moves_no_texts(spark, no_broadcast):
     assert all(usage[n][1:] == (11, 2) for n in range(20)) and stages["final_context"].where("text is null").count() == 0
     assert written + moved < 200_000
     release(spark)
+
+
+def test_shuffle_files_go_with_their_stage(spark):
+    """Behind no_evidence's last stage none of the shuffles that led to it is still on disk."""
+    dirs = [Path(f.getPath()) for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    names = lambda: {p for d in dirs for p in d.rglob("shuffle_*.data")}
+    before, setting = names(), spark.conf.get(CLEANUP)
+    QUERIES["no_evidence"](spark, DATA)
+    for _ in range(20):
+        left = sum(p.stat().st_size for p in names() - before if p.exists())
+        if left < 100_000:
+            break
+        time.sleep(0.5)
+    assert left < 100_000 and spark.conf.get(CLEANUP) == setting
+    release(spark)
