@@ -11,7 +11,9 @@ sentences; their posteriors are calibrated subject by subject, independently, on
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,63 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int32) & (BUCKETS - 1)
 
 
+#: Ranges of characters of which none composes with the one before, but for those with a combining class.
+_PLAIN = ((0, 0x300), (0x370, 0x530), (0x2000, 0x2C00), (0x3000, 0x3400), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xFE30, 0xFE70), (0xFF00, 0xFFF0))
+_NOT_ALONE = np.uint32(0xFFFFFFFF)
+
+
+def _lowered(text: str) -> str:
+    return (base_form_text(text) or "").lower().replace("\x00", " ")
+
+
+@cache
+def _folded() -> np.ndarray:
+    """What :func:`_lowered` makes of each character, or ``_NOT_ALONE`` if that isn't one character or depends on its neighbours."""
+    out = np.full(0x110000, _NOT_ALONE, np.uint32)
+    plain = lambda x: any(a <= x < b for a, b in _PLAIN)
+    for a, b in _PLAIN:
+        if a in (0x3400, 0x4E00):  # ideographs stay
+            out[a:b] = np.arange(a, b)
+            continue
+        for i in range(a, b):
+            base = base_form_text(chr(i))
+            new = _lowered(chr(i))
+            if i != 13 and base != "Σ" and len(base) == len(new) == 1 and all(plain(ord(x)) and not unicodedata.combining(x) for x in (unicodedata.normalize("NFKC", chr(i))[:1], base, new)):
+                out[i] = ord(new)
+    return out
+
+
+def _codes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(characters of the lowered texts, each with a line break behind it, and a space at the end; length of each with its line break)."""
+    own = [t or "" for t in texts]
+    raw = np.frombuffer(("\n".join(own) + "\n ").encode("utf-32-le"), dtype=np.uint32)
+    lengths = np.fromiter((len(t) + 1 for t in own), np.int64, len(own))
+    c = _folded()[raw]
+    ends = np.cumsum(lengths)
+    slow = np.unique(np.searchsorted(ends, np.flatnonzero(c == _NOT_ALONE), "right"))
+    if not len(slow):
+        return c, lengths
+    parts = np.split(c, ends)
+    for i in slow:
+        parts[i] = np.frombuffer((_lowered(own[i]) + "\n").encode("utf-32-le"), dtype=np.uint32)
+        lengths[i] = len(parts[i])
+    return np.concatenate(parts), lengths
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _P and of its inverse, kept for the next slice."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS.clear()
+        for base in (_P, _P_INVERSE):
+            powers = np.full(max(n, 2 * SLICE), base, np.uint64)
+            powers[0] = 1
+            _POWERS.append(np.multiply.accumulate(powers))
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 @dataclass
 class Sentences:
     """Sequences of a slice of texts: each with its bucket and sentence; sentences with their document."""
@@ -58,13 +117,10 @@ def sentences_of(texts: list[str | None]) -> Sentences:
 
     A line without an end mark and of at most 30 characters is a heading and isn't counted.
     """
-    norm = [(base_form_text(t) or "").lower().replace("\x00", " ") for t in texts]
-    joined = "\n".join(norm) + "\n "
-    c = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+    c, lengths = _codes_of(texts)
     n = len(c)
-    lengths = np.fromiter((len(t) + 1 for t in norm), np.int64, len(norm))
-    doc_at = np.repeat(np.arange(len(norm), dtype=np.int32), lengths)
-    doc_at = np.concatenate([doc_at, np.full(n - len(doc_at), max(0, len(norm) - 1), np.int32)])
+    doc_at = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    doc_at = np.concatenate([doc_at, np.full(n - len(doc_at), max(0, len(texts) - 1), np.int32)])
     line = c == 10
     mark = (c == 0x3002) | (c == 33) | (c == 63)
     mark[:-1] |= (c[:-1] == 46) & (c[1:] <= 32)
@@ -98,13 +154,8 @@ def sentences_of(texts: list[str | None]) -> Sentences:
     edge = np.diff(word.astype(np.int8), prepend=0, append=0)
     s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(s):
-        powers = np.full(n, _P, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
+        powers, back = _powers(n)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(big * powers, dtype=np.uint64)])
-        back = np.full(n, _P_INVERSE, np.uint64)
-        back[0] = 1
-        back = np.multiply.accumulate(back)
         w = (sums[e] - sums[s]) * back[s]
         buckets.append(_bucket(w, 4)), ats.append(sent[s])
         pair = (s[1:] == e[:-1] + 1) & (sent[s[1:]] == sent[s[:-1]])

@@ -287,3 +287,20 @@ def test_sql(spark, data, name):
         con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
     df = QUERIES[name](spark, data)
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"select {', '.join(df.columns)} from ({ORACLES[name]})").fetchall())
+
+
+def test_subjects_fold_plain_characters_without_a_call_a_text(monkeypatch):
+    """p8: characters that stand alone are folded by a table; the others' texts one by one, with the same result."""
+    from leafmill.functions.forms import base_form_text
+
+    odd = ["", None, "a\r\nb\rc", "éx", "が", "ΣΑΣ. ΟΔΟΣ", "…㎡", "각", "x​y", "\x00힣", "İ", "ﬁne", "⺝⺝", "𝐀b"]
+    plain = ["营业收入（万元）：１２３．４％。\nＡＢＣ Revenue—up　 x", "Абв Élan ｱｲ²", "\x85‐\xa0z"]
+    asked = []
+    subjects._folded()
+    monkeypatch.setattr(subjects, "base_form_text", lambda t: asked.append(t) or base_form_text(t))
+    for texts in (plain, odd, plain + odd + plain, []):
+        want = "".join((base_form_text(t) or "").lower().replace("\x00", " ") + "\n" for t in texts) + " "
+        codes, lengths = subjects._codes_of(texts)
+        assert "".join(map(chr, codes)) in (want, "\n" + want if not texts else want) and sum(lengths) == len(want) - 1
+        assert not set(asked) & set(plain)
+    assert asked
